@@ -4,7 +4,7 @@ An evaluation text of n words is cut into k+1 = n // SEGMENT segments of SEGMENT
 text that comes from it by at most k spread word edits holds one segment unchanged, so the segments
 are matched against every run of SEGMENT words of the training texts. Allowed positions are those at
 which the lengths still permit the demanded similarity; block moves keep no position, so within that
-the position is free. Matches are thinned by a 128-bit signature, then verified by banded dynamic
+the position is free. Matches are thinned by a signature of 128 two-bit minima, then verified by banded dynamic
 programming over words (edit distance), and by the exact share of common runs of three words, which
 decides pairs with block moves that no band holds. Texts below ``min_words`` words have k = 0: one
 segment, the whole text, joined with the record's context (user and item).
@@ -28,7 +28,7 @@ SEGMENT = 6
 #: Bits of the filter of evaluation segments that training tasks test first: fixed, 8 MB.
 FILTER_BITS = 1 << 26
 _CHUNK = 1 << 16
-_ROW = "key long, cls long, n int, s0 long, s1 long"
+_ROW = "key long, cls long, s0 long, s1 long, s2 long, s3 long"
 
 
 def _context_hash(column: pa.Array) -> np.ndarray:
@@ -83,16 +83,17 @@ def _keys(t: _Texts, seed: int, every: int, shingle: int, passes: Callable[[np.n
     if not len(value):
         return None
     used = np.unique(doc)
-    s0, s1 = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
+    parts = [np.zeros(len(cls), np.int64) for _ in K.SKETCH]
     long_used = used[~short[used]]
     if len(long_used):
         mark = np.zeros(len(cls), bool)
         mark[long_used] = True
         v, d, _ = K.grams(K.select(words, mark), shingle)
         counts = np.bincount(d, minlength=len(long_used))
-        s0[long_used], s1[long_used] = K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), K.SKETCH_BITS, seed))
-    arrays = [value.view(np.int64), cls.view(np.int64)[doc], words.count[doc].astype(np.int32), s0[doc], s1[doc]]
-    return pa.record_batch([pa.array(a) for a in arrays], names=["key", "cls", "n", "s0", "s1"])
+        for whole, part in zip(parts, K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), K.SKETCH_MINIMA, seed))):
+            whole[long_used] = part
+    arrays = [value.view(np.int64), cls.view(np.int64)[doc], *(p[doc] for p in parts)]
+    return pa.record_batch([pa.array(a) for a in arrays], names=["key", "cls", *K.SKETCH])
 
 
 def _key_mapper(min_words: int, shingle: int, seed: int, every: int, context: int, bits=None) -> Callable:
@@ -205,10 +206,8 @@ def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is
     segments = cut(evals.mapInArrow(_key_mapper(min_words, shingle, seed, SEGMENT, n), _ROW).distinct())
     bits = spark.sparkContext.broadcast(_filter_bits(segments))
     runs = trains.mapInArrow(_key_mapper(min_words, shingle, seed, 1, n, bits), _ROW)
-    e, t = segments.toDF("key", "cls_e", "n_e", "e0", "e1"), runs.toDF("key", "cls_t", "n_t", "t0", "t1")
-    apart = F.bit_count(F.col("e0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("e1").bitwiseXOR(F.col("t1")))
-    # |A∩B| >= s|A∪B| bounds the distinct runs of the shorter text by s times those of the longer; repeats within a text loosen it
-    near = t.join(e, "key").where(apart <= K.sketch_limit(similarity)).select("cls_e", "cls_t").distinct()
+    e, t = (f.toDF("key", f"cls_{x}", *(f"{x}_{c}" for c in K.SKETCH)) for f, x in ((segments, "e"), (runs, "t")))
+    near = t.join(e, "key").where(K.sketch_distance("e", "t") <= K.sketch_limit(similarity)).select("cls_e", "cls_t").distinct()
     near = cut(near)
     e_ids, t_ids = near.select(F.col("cls_e").alias("cls")).distinct(), near.select(F.col("cls_t").alias("cls")).distinct()
     member = "cls long, rid string, words binary, context array<string>"

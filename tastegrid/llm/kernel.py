@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 SEED = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -150,21 +151,36 @@ def minima(values: np.ndarray, starts: np.ndarray, n_hashes: int, seed: int) ->
     return out
 
 
-SKETCH_BITS = 128
+SKETCH_MINIMA = 128
+#: Columns of a sketch: two planes of one bit per minimum, each in two signed 64-bit words.
+SKETCH = ("s0", "s1", "s2", "s3")
 
 
-def sketches(minimum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One bit of each of 128 minima, as two signed 64-bit words per text."""
-    bits = (minimum[:SKETCH_BITS] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    packed = np.packbits(bits.astype(np.uint8), axis=0).T.copy()
-    pair = packed.view(np.int64)
-    return pair[:, 0].copy(), pair[:, 1].copy()
+def sketches(minimum: np.ndarray) -> list[np.ndarray]:
+    """Two bits of each of 128 minima, as four signed 64-bit words per text."""
+    mixed = minimum[:SKETCH_MINIMA] * np.uint32(0x9E3779B1)
+    out = []
+    for shift in (31, 30):
+        bits = ((mixed >> np.uint32(shift)) & np.uint32(1)).astype(np.uint8)
+        pair = np.packbits(bits, axis=0).T.copy().view(np.int64)
+        out += [pair[:, 0].copy(), pair[:, 1].copy()]
+    return out
+
+
+def sketch_distance(left: str, right: str) -> Column:
+    """Minima whose two bits differ, over the sketch columns with these prefixes."""
+    l, r = ([F.col(f"{side}_{c}") for c in SKETCH] for side in (left, right))
+    x = [a.bitwiseXOR(b) for a, b in zip(l, r)]
+    return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
 
 
 def sketch_limit(similarity: float) -> int:
-    """Most differing sketch bits for pairs at ``similarity``, 3.5 standard deviations out."""
-    p = (1 - similarity) / 2
-    return int(SKETCH_BITS * p + 3.5 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
+    """Most differing minima of pairs at ``similarity``, 3.5 standard deviations out.
+
+    Two minima agree in both bits with probability s + (1 - s) / 4.
+    """
+    p = (1 - similarity) * 0.75
+    return int(SKETCH_MINIMA * p + 3.5 * (SKETCH_MINIMA * p * (1 - p)) ** 0.5) + 1
 
 
 def distinct_sorted(values: np.ndarray) -> bytes:

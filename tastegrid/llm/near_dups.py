@@ -149,8 +149,8 @@ def _sketch_mapper(text: int, k: int, min_words: int, seed: int) -> Callable:
                 keep[first] = True
                 words, cls = K.select(words, keep), cls[keep]
                 value, doc, _ = K.grams(words, k)
-                s0, s1 = K.sketches(K.minima(value, _starts(doc, len(cls)), K.SKETCH_BITS, seed))
-                yield pa.record_batch([pa.array((cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)), pa.array(s0), pa.array(s1)], names=["id", "s0", "s1"])
+                parts = K.sketches(K.minima(value, _starts(doc, len(cls)), K.SKETCH_MINIMA, seed))
+                yield pa.record_batch([pa.array((cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)), *map(pa.array, parts)], names=["id", *K.SKETCH])
 
     return run
 
@@ -210,7 +210,7 @@ class NearDuplicates:
 def find(records: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: Bands | None = None, seed: int = 7) -> NearDuplicates:
     """Pairs of texts whose sets of ``shingle``-word runs have Jaccard similarity of at least ``similarity``.
 
-    Candidates come from min-hash bands, are thinned by a 128-bit signature and decided
+    Candidates come from min-hash bands, are thinned by a signature of 128 two-bit minima and decided
     exactly on the full sets. ``bands`` defaults to the longest bands that lose under 1.6 % of
     pairs exactly at the threshold (and quickly fewer above it).
     """
@@ -223,11 +223,9 @@ def find(records: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, si
     keys = texts.mapInArrow(_key_mapper(0, shingle, min_words, bands, parts, seed), "part int, keys binary, ids binary")
     hits = keys.repartitionById(parts, F.col("part")).mapInArrow(_bucket_pairs, "a long, b long")
     candidates = cut(hits.distinct())
-    sketch = texts.mapInArrow(_sketch_mapper(0, shingle, min_words, seed + 1), "id long, s0 long, s1 long").groupBy("id").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    left = sketch.select(F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = sketch.select(F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    near = candidates.where("a <> b").join(left, "a").join(right, "b").where(apart <= K.sketch_limit(similarity)).select("a", "b")
+    sketch = texts.mapInArrow(_sketch_mapper(0, shingle, min_words, seed + 1), "id long, s0 long, s1 long, s2 long, s3 long").groupBy("id").agg(*(F.first(c).alias(c) for c in K.SKETCH))
+    left, right = (sketch.toDF(side, *(f"{side}_{c}" for c in K.SKETCH)) for side in "ab")
+    near = candidates.where("a <> b").join(left, "a").join(right, "b").where(K.sketch_distance("a", "b") <= K.sketch_limit(similarity)).select("a", "b")
     near = cut(near.union(candidates.where("a = b").select("a", "b")))
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     chosen = source.mapInArrow(_member_mapper(0, 1, shingle, min_words, K.id_filter(wanted, "id")), "id long, cls long, rid string, grams binary")
