@@ -13,6 +13,7 @@ Defined results: null stays null; an empty text stays empty; an empty table give
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -88,10 +89,19 @@ def _single(c: str) -> str:
     return LOOKALIKES.get(c, c)
 
 
-def rule_characters() -> set[str]:
-    """Every character the rules speak of."""
-    forms = {chr(i) for i in range(0xFF01, 0xFF5F)}
-    return forms | set(LOOKALIKES) | set(LOOKALIKES.values()) | {" ", " ", "　", "​", "­"}
+@functools.cache
+def rule_characters() -> frozenset[str]:
+    """Every character the rules speak of: full-width forms, blanks, characters without width, look-alike letters, and
+    composed letters whose base is a look-alike."""
+    found = set(LOOKALIKES) | set(LOOKALIKES.values()) | {chr(i) for i in range(0xFF01, 0xFF5F)} | set(WIDTHLESS)
+    for i in (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE01F0)):
+        c = chr(i)
+        if unicodedata.category(c) in ("Zs", "Cf") or _is_widthless(c):
+            found.add(c)
+        elif (parts := unicodedata.normalize("NFD", c)) != c and parts[0] in LOOKALIKES:
+            found.add(c)
+            found.update(parts[1:])
+    return frozenset(found)
 
 
 def rewriting(counts: dict[str, int]) -> dict[str, str]:
