@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions import text as T
 from tastegrid.functions.words import FAMILY_CONFIDENCE, SOURCES
-from tastegrid.operators import indexes
+from tastegrid.operators import indexes, stats
 from tastegrid.operators.indexes import top
 
 
@@ -108,18 +108,46 @@ def preferred_categories(history: DataFrame, most: int = 5) -> DataFrame:
     return top(used, ["user_id"], [F.desc("n"), "first", "category"], most).select("user_id", "category", "n", "rank")
 
 
-def category_popular(history: DataFrame, items: DataFrame, per_category: int = 200, limit: int = 30) -> DataFrame:
-    """Popular items of preferred categories: 0.50 category weight + 0.35 log popularity + 0.15 quality."""
-    quality = F.least(F.greatest((F.coalesce("average_rating", F.lit(3.5)) - 1) / 4, F.lit(0.0)), F.lit(1.0))
-    ranked = top(items.withColumn("q", quality), ["category"], [F.desc("popularity"), F.desc(F.coalesce("average_rating", F.lit(0.0))), F.desc("item_id")], per_category)
-    most = items.agg(F.greatest(F.max("popularity"), F.lit(1)).alias("m")).first()["m"] or 1
+def _log_share(n: Column, most: Column) -> Column:
+    return F.when((n > 0) & (most > 0), F.log1p(n.cast("double")) / F.log1p(most.cast("double"))).otherwise(0.0)
+
+
+def popularity_order() -> list[Column]:
+    return [F.desc("popularity"), F.desc(F.coalesce("average_rating", F.lit(0.0))), F.desc("item_id")]
+
+
+def category_popular(history: DataFrame, items: DataFrame, per_category: int = 400, limit: int = 30) -> DataFrame:
+    """Popular items of preferred categories: 0.50 category weight + 0.35 log popularity (of the most popular of them) + 0.15 quality."""
+    ranked = top(items.withColumn("q", F.coalesce(F.nullif("average_rating", F.lit(0.0)), F.lit(3.5)) / 5), ["category"], popularity_order(), per_category)
     affinity = history.groupBy("user_id", "category").agg(((F.avg("rating") - 3) / 2).alias("affinity"))
     weight = F.greatest(F.greatest(1 - 0.08 * (F.col("r") - 1), F.lit(0.65)), F.least(0.65 + F.coalesce("affinity", F.lit(0.0)), F.lit(1.0)))
     wanted = preferred_categories(history).withColumnRenamed("rank", "r").join(affinity, ["user_id", "category"], "left").select("user_id", "category", weight.alias("cw"))
-    scored = wanted.join(ranked.select("category", "item_id", "popularity", "q"), "category").select("user_id", "item_id", F.round(0.50 * F.col("cw") + 0.35 * F.log1p(F.col("popularity").cast("double")) / F.log1p(F.lit(float(most))) + 0.15 * F.col("q"), 4).alias("score"))
+    peaks = ranked.groupBy("category").agg(F.max("popularity").alias("peak"))
+    most = wanted.join(peaks, "category").groupBy("user_id").agg(F.max("peak").alias("most"))
+    rows = wanted.join(most, "user_id").join(ranked.select("category", "item_id", "popularity", "q"), "category")
+    value = 0.50 * F.col("cw") + 0.35 * _log_share(F.col("popularity"), F.col("most")) + 0.15 * F.col("q")
+    scored = rows.select("user_id", "item_id", F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 4).alias("score"))
     return top(unseen(scored, history), ["user_id"], [F.desc("score"), "item_id"], limit)
 
 
+def global_popular(history: DataFrame, items: DataFrame, limit: int = 35) -> DataFrame:
+    """The most popular unseen items of each user; score max(1 - i/limit, 0.70 rating/5 + 0.30, or rating/5 where never rated).
+
+    With the ranks s_1 < s_2 < ... of a user's seen items, the limit-th unseen item has rank limit + #(s_i - i < limit), so
+    each user is joined with that many leading ranks only, never with the catalogue.
+    """
+    q = F.coalesce(F.nullif("average_rating", F.lit(0.0)), F.lit(3.5)) / 5
+    quality = F.least(F.when(F.col("popularity") > 0, 0.70 * q + 0.30).otherwise(q), F.lit(1.0))
+    ranked = stats.ranked_globally(items.select("item_id", "popularity", "average_rating", F.round(quality, 4).alias("q")), popularity_order(), "place")
+    seen = history.select("user_id", "item_id").distinct().join(ranked.select("item_id", "place"), "item_id")
+    ahead = F.col("place") - F.row_number().over(Window.partitionBy("user_id").orderBy("place")) < limit
+    skipped = seen.withColumn("ahead", ahead).groupBy("user_id").agg(F.sum(F.col("ahead").cast("long")).alias("n"))
+    users = history.select("user_id").distinct().join(skipped, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), limit + F.coalesce("n", F.lit(0)))).alias("place"))
+    rows = unseen(users.join(ranked, "place"), history)
+    kept = top(rows, ["user_id"], [F.col("place")], limit)
+    return kept.select("user_id", "item_id", F.round(F.greatest(1 - (F.col("rank") - 1) / limit, "q"), 4).alias("score"), "rank")
+
+
 def merge(sources: dict[str, DataFrame]) -> DataFrame:
     """(user_id, item_id, scores, n_sources, priority): one row per candidate of any source.
 

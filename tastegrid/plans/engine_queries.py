@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastegrid.functions import text as T
-from tastegrid.operators import evaluation, indexes, interactions as I, profiles, rating, retrieval, stats
+from tastegrid.operators import evaluation, indexes, interactions as I, profiles, ranking, rating, retrieval, stats
 from tastegrid.plans.scratch import cut
 
 
@@ -343,20 +343,28 @@ def r24_category_popular(spark, sf_dir):
     return retrieval.category_popular(history, items(spark, sf_dir))
 
 
+@query
+def r26_global_popular(spark, sf_dir):
+    """Most popular unseen items of test users."""
+    _, history = _history(spark, sf_dir)
+    return retrieval.global_popular(history, items(spark, sf_dir))
+
+
 def _sources(spark, sf_dir):
     t, history = _history(spark, sf_dir)
-    catalogue = items(spark, sf_dir)
+    t, history, catalogue = cut(t), cut(history), cut(items(spark, sf_dir))
     return history, catalogue, {
         "co_visitation": retrieval.co_visitation(history, indexes.covisitation(t)),
         "user_neighbor": retrieval.user_neighbors(history, indexes.item_positive_users(t), indexes.user_positive_items(t)),
         "implicit_item_item": retrieval.implicit_items(history, indexes.cosine_neighbors(t, catalogue)),
         "category_affinity_popular": retrieval.category_popular(history, catalogue),
+        "global_popular": retrieval.global_popular(history, catalogue),
     }
 
 
 @query
 def u02_candidate_pool(spark, sf_dir):
-    """Merged pool of four sources, 100 candidates per user by selection priority."""
+    """Merged pool of five sources, 100 candidates per user by selection priority."""
     _, catalogue, sources = _sources(spark, sf_dir)
     return retrieval.pool(retrieval.merge(sources), catalogue).select("user_id", "item_id", "n_sources", "priority", "rank")
 
@@ -369,6 +377,38 @@ def a28_ranking_metrics(spark, sf_dir):
     return evaluation.ranking_metrics(evaluation.with_slices(ranked, history), (10, 50, 100), "slice")
 
 
+def _vectors(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, vector): the hashed slots as one array of 64 numbers."""
+    slots = profiles.hashed_vectors(tokens, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    return slots.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def _aspect_map(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("aspect", "score"))).alias("aspects"))
+
+
+@query
+def g06_ranked_top10(spark, sf_dir):
+    """The ten best pool candidates of every test user by the hybrid score."""
+    history, catalogue, sources = _sources(spark, sf_dir)
+    pool = retrieval.pool(retrieval.merge(sources), catalogue)
+    affinity = profiles.category_affinity(history).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "affinity"))).alias("category_affinity"))
+    said = history.where("rating >= 4").select("user_id", F.explode(T.terms(T.join_parts(F.col("name"), F.col("category"), F.col("review")))).alias("term"))
+    users = profiles.user_profiles(history).select("user_id", "confidence", "preferred_terms", "disliked_terms", "preferred_categories").join(affinity, "user_id", "left").join(_aspect_map(indexes.user_aspects(history), "user_id"), "user_id", "left").join(_vectors(said, "user_id"), "user_id", "left")
+    about = catalogue.select("item_id", F.explode(T.terms(indexes.item_text(False))).alias("term"))
+    things = profiles.item_profiles(catalogue).join(_aspect_map(indexes.item_aspects(catalogue), "item_id"), "item_id", "left").join(_vectors(about, "item_id"), "item_id", "left")
+    return ranking.rank(ranking.features(pool, users, things), 10).select("user_id", "item_id", F.round("raw_score", 4).alias("raw_score"), "score", "rank")
+
+
+@query
+def a33_miss_causes(spark, sf_dir):
+    """Causes why test targets are missing from the pool, counted per cause and history bucket."""
+    history, catalogue, sources = _sources(spark, sf_dir)
+    t = train(spark, sf_dir)
+    ranked = evaluation.target_ranks(test(spark, sf_dir).select("user_id", "item_id", "category"), retrieval.pool(retrieval.merge(sources), catalogue))
+    return evaluation.miss_causes(ranked, history, t, indexes.covisitation(t)).groupBy("cause", "bucket").agg(F.count("*").alias("n"))
+
+
 @query
 def a32_source_diagnostics(spark, sf_dir):
     """Candidates, hits and recall per source."""
@@ -406,6 +446,22 @@ def m08_linear_rating(spark, sf_dir):
     return evaluation.rating_errors(rating.predict_linear(f.where("half = 1"), model, "head_linear"), ["head_linear", "bias_prior"])
 
 
+@query
+def m09_star_thresholds(spark, sf_dir):
+    """Thresholds that cut the calibrated prediction into stars, and the error they give."""
+    p = rating.predictions(rating.features(test(spark, sf_dir), train(spark, sf_dir)))
+    cuts = rating.star_thresholds(p, "head_calibrated")
+    return evaluation.rating_errors(p.withColumn("head_stars", rating.stars(F.col("head_calibrated"), cuts)), ["head_stars", "head_calibrated"])
+
+
+@query
+def m10_blend(spark, sf_dir):
+    """Blend of the heads with the least RMSE on the simplex grid."""
+    p = rating.predictions(rating.features(test(spark, sf_dir), train(spark, sf_dir)))
+    w = rating.fit_blend(p, ["head_user", "head_item", "head_calibrated", "head_bias_prior", "head_adaptive"])
+    return evaluation.rating_errors(p.withColumn("head_blend", sum((F.col(h) * v for h, v in w.items()), F.lit(0.0))), ["head_blend", *rating.HEADS])
+
+
 @query
 def f09_hashed_vectors(spark, sf_dir):
     """Hashed unit vectors of the catalogue text, long form."""

@@ -155,16 +155,25 @@ _R24 = (
     _PREFERRED.format("hist")
     + """,
     aff AS (SELECT user_id, category, (avg(rating) - 3) / 2 AS a FROM hist GROUP BY 1, 2),
-    rk AS (SELECT *, least(greatest((coalesce(average_rating, 3.5) - 1) / 4, 0.0), 1.0) AS q FROM catalogue QUALIFY row_number() OVER (PARTITION BY category ORDER BY popularity DESC, coalesce(average_rating, 0) DESC, item_id DESC) <= 200),
-    mx AS (SELECT greatest(max(popularity), 1) AS m FROM catalogue),
-    cp AS (SELECT p.user_id, r.item_id, round(0.50 * greatest(greatest(1 - 0.08 * (p.rank - 1), 0.65), least(0.65 + coalesce(a, 0), 1.0)) + 0.35 * ln(1 + r.popularity) / ln(1 + m) + 0.15 * r.q, 4) AS score
-           FROM pref p JOIN rk r ON r.category = p.category LEFT JOIN aff ON aff.user_id = p.user_id AND aff.category = p.category, mx),
+    rk AS (SELECT *, coalesce(nullif(average_rating, 0), 3.5) / 5 AS q FROM catalogue QUALIFY row_number() OVER (PARTITION BY category ORDER BY popularity DESC, coalesce(average_rating, 0) DESC, item_id DESC) <= 400),
+    cw AS (SELECT p.user_id, p.category, greatest(greatest(1 - 0.08 * (p.rank - 1), 0.65), least(0.65 + coalesce(a, 0), 1.0)) AS w FROM pref p LEFT JOIN aff ON aff.user_id = p.user_id AND aff.category = p.category),
+    el AS (SELECT cw.user_id, r.item_id, w, r.popularity, r.q, max(r.popularity) OVER (PARTITION BY cw.user_id) AS m FROM cw JOIN rk r ON r.category = cw.category),
+    cp AS (SELECT user_id, item_id, round(least(greatest(0.50 * w + 0.35 * CASE WHEN popularity > 0 THEN ln(1 + popularity) / ln(1 + m) ELSE 0 END + 0.15 * q, 0), 1), 4) AS score FROM el),
     r24 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cp n """
     + _UNSEEN
     + """ QUALIFY rank <= 30)
 """
 )
 
+_R26 = (
+    """,
+    gp AS (SELECT u.user_id, c.item_id, c.popularity, c.average_rating, coalesce(nullif(c.average_rating, 0), 3.5) / 5 AS q FROM (SELECT DISTINCT user_id FROM hist) u, catalogue c),
+    gr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, coalesce(average_rating, 0) DESC, item_id DESC) AS rank FROM gp n """
+    + _UNSEEN
+    + """ QUALIFY rank <= 35)
+"""
+)
+
 
 def _aspect_hits(table: str, text: str, keep: str) -> str:
     tokens = f"list_filter(regexp_extract_all(lower({text}), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}'), lambda t: NOT list_contains({_list(ASPECT_STOPWORDS)}, t))"
@@ -352,6 +361,7 @@ SQL = {
     "r08_evidence_graph": f"{BASE}{_R08} SELECT user_id, item_id, score, source, rank FROM gr",
     "r13_bm25": f"{BASE}{_R13} SELECT * FROM norm",
     "r24_category_popular": f"{BASE}{_R24} SELECT user_id, item_id, score, rank FROM r24",
+    "r26_global_popular": f"{BASE}{_R26} SELECT user_id, item_id, round(greatest(1 - (rank - 1) / 35, round(least(CASE WHEN popularity > 0 THEN 0.70 * q + 0.30 ELSE q END, 1), 4)), 4) AS score, rank FROM gr",
     "m03_rating_features": f"{BASE}{_FEATURES} SELECT review_id, rating, user_n, item_n, {', '.join(f'round({c}, 6) AS {c}' for c in ('user_prior', 'user_recent_prior', 'item_prior', 'category_prior', 'user_category_prior', 'bias_prior'))} FROM feat",
     "a27_rating_errors": f"{BASE}{_FEATURES} SELECT head, {_ERRORS} FROM heads GROUP BY 1",
     "a30_rating_slices": f"""{BASE}{_FEATURES}, sl AS (SELECT *, 'history:' || CASE WHEN user_n <= 0 THEN 'cold' WHEN user_n <= 2 THEN 'light' WHEN user_n <= 9 THEN 'medium' ELSE 'warm' END AS slice FROM heads UNION ALL SELECT *, 'category:' || category FROM heads)
