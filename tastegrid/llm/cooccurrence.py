@@ -144,8 +144,10 @@ def cooccurrence(records: DataFrame, basket: Column, item: Column, *, min_count:
         counted = counted.where(F.col("n_narrow") >= max(1, min_count - n_wide))
         if n_wide >= min_count:
             blocks = cut(owned.where(F.size("wide") >= min_count).select("i", "wide").mapInArrow(_block(min_count), "block long, items array<long>, wide array<array<long>>"))
+            # one tile per unordered pair of blocks, reached by an equi-join; there are as many names as items / TILE
+            names = F.array(*(F.lit(r.block) for r in blocks.select("block").collect()))
             x, y = blocks.toDF("x", "items_x", "wide_x"), blocks.toDF("y", "items_y", "wide_y")
-            tiles = x.join(y, F.col("x") <= F.col("y")).repartition(max(1, blocks.count()))
+            tiles = x.withColumn("y", F.explode(F.filter(names, lambda b: b >= F.col("x")))).join(y, "y")
             dense = tiles.mapInArrow(_tile(min_count), "a long, b long").withColumn("n_narrow", F.lit(0).cast("long"))
             counted = counted.unionByName(dense).groupBy("a", "b").agg(F.sum("n_narrow").alias("n_narrow"))
     else:
