@@ -2,8 +2,8 @@
 
 Unit vectors are quantised to int8 with one scale each; the norm of each residual is kept, which bounds the
 error of a tile's product: |x.y - x'.y'| <= r_x + r_y + r_x*r_y. Vectors are written once to the shared folder as
-packs; each task takes one strip of packs and streams all packs past it, computing int8 product tiles
-(exact in float32 arithmetic). A pair survives if its upper bound reaches the row's current k-th lower bound;
+packs; each task takes one strip of packs and streams all packs past it, multiplying tiles of the int8 codes (scaled,
+in float32, whose rounding is added to the bound; NumPy has no fast int8 product). A pair survives if its upper bound reaches the row's current k-th lower bound;
 survivors are recomputed in double precision from the packs and merged into the rows' heaps.
 
 The strips read packs from storage instead of shuffling them, so the shuffle stays linear in the vectors;
@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tastegrid.plans.scratch import parallelism, ship_package, write_table
+from tastegrid.plans.scratch import cut, parallelism, ship_package, write_table
 
 PACK_ROWS = 8192
 TILE_ROWS = 512
+TILE_COLUMNS = 1024
 _PACK = "ids binary, codes binary, scale binary, residual binary, vectors binary, n int"
 
 
@@ -74,13 +75,30 @@ def _row_groups(path: str) -> list[tuple[str, int, int]]:
         return [(path, i, r["n"]) for i in range(meta.metadata.num_row_groups) for r in meta.read_row_group(i, columns=["n"]).to_pylist()]
 
 
+def _merge(best: np.ndarray, who: np.ndarray, x: np.ndarray, y: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
+    """Put candidates (row x, vector y, similarity) into the rows' heaps; returns the touched rows."""
+    touched = np.unique(x)
+    cx = np.concatenate((x, np.repeat(touched, k)))
+    cs = np.concatenate((sim, best[touched].ravel()))
+    cy = np.concatenate((y, who[touched].ravel()))
+    order = np.lexsort((cy, -cs, cx))
+    cx, cs, cy = cx[order], cs[order], cy[order]
+    place = np.arange(len(cx)) - np.searchsorted(cx, cx)
+    top = place < k
+    best[cx[top], place[top]] = cs[top]
+    who[cx[top], place[top]] = cy[top]
+    return touched
+
+
 def _strip(packs: list[tuple[str, int, int]], dim: int, k: int, least: float) -> Callable:
+    """Task of one strip. With a threshold every pack pair is multiplied once and both directions are reported."""
     offsets = np.concatenate(([0], np.cumsum([n for _, _, n in packs])))
+    once = least > -1
 
-    def load(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def load(number: int) -> tuple[np.ndarray, np.ndarray]:
         r = _read(packs[number][0], packs[number][1], ["codes", "scale", "residual"])
-        codes = np.frombuffer(r["codes"], np.int8).reshape(-1, dim).astype(np.float32)
-        return codes, np.frombuffer(r["scale"], np.float32), np.frombuffer(r["residual"], np.float32)
+        codes = np.frombuffer(r["codes"], np.int8).reshape(-1, dim)
+        return codes * np.frombuffer(r["scale"], np.float32)[:, None], np.frombuffer(r["residual"], np.float32)
 
     def exact(number: int) -> np.ndarray:
         return np.frombuffer(_read(packs[number][0], packs[number][1], ["vectors"])["vectors"], np.float64).reshape(-1, dim)
@@ -88,47 +106,56 @@ def _strip(packs: list[tuple[str, int, int]], dim: int, k: int, least: float) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for mine, begin, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                left, scale_l, res_l = (x[begin:end] for x in load(mine))
+                left, res_l = (x[begin:end] for x in load(mine))
                 own = exact(mine)[begin:end]
                 rows = end - begin
-                best = np.full((rows, k), -np.inf)
-                who = np.full((rows, k), -1, np.int64)
+                best, who = np.full((rows, k), -np.inf), np.full((rows, k), -1, np.int64)
                 floor = np.full(rows, least, np.float32)
-                for other in [mine, *(i for i in range(len(packs)) if i != mine)]:
-                    right, scale_r, res_r = load(other)
-                    right = np.ascontiguousarray(right.T)
+                tile_of, hit_of = np.empty((TILE_ROWS, TILE_COLUMNS), np.float32), np.empty((TILE_ROWS, TILE_COLUMNS), bool)
+                others = [mine, *(i for i in range(len(packs)) if (i > mine if once else i != mine))]
+                for other in others:
+                    right, res_r = load(other)
                     vectors = None
-                    worst = res_r.max()
-                    for a in range(0, rows, TILE_ROWS):
-                        b = min(rows, a + TILE_ROWS)
-                        tile = (left[a:b] @ right) * scale_r
-                        # upper bound of the cosine reaches the row's floor
-                        need = (floor[a:b] - (res_l[a:b] + worst + res_l[a:b] * worst) - 1e-6) / scale_l[a:b]
-                        if other == mine:
-                            tile[np.arange(b - a), begin + np.arange(a, b)] = -np.inf
-                        if not np.isfinite(best[a:b, -1]).all() and least <= -1 and k < tile.shape[1]:
-                            # first pack: the k-th lower bound of the tile itself
-                            kth = np.partition(tile, -k, axis=1)[:, -k]
-                            need = np.maximum(need, kth - 2 * (res_l[a:b] + worst + res_l[a:b] * worst) / scale_l[a:b])
-                        x, y = np.nonzero(tile >= need[:, None])
-                        if not len(x):
-                            continue
-                        if vectors is None:
-                            vectors = exact(other)
-                        sim = np.einsum("ij,ij->i", own[a + x], vectors[y])
-                        ok = sim >= max(least, -2)
-                        x, y, sim = x[ok] + a, y[ok] + offsets[other], sim[ok]
-                        touched = np.unique(x)
-                        cx = np.concatenate((x, np.repeat(touched, k)))
-                        cs = np.concatenate((sim, best[touched].ravel()))
-                        cy = np.concatenate((y, who[touched].ravel()))
-                        order = np.lexsort((cy, -cs, cx))
-                        cx, cs, cy = cx[order], cs[order], cy[order]
-                        place = np.arange(len(cx)) - np.searchsorted(cx, cx)
-                        top = place < k
-                        best[cx[top], place[top]] = cs[top]
-                        who[cx[top], place[top]] = cy[top]
-                        floor[touched] = np.maximum(floor[touched], best[touched, -1])
+                    back = once and other != mine
+                    if back:
+                        best_r, who_r = np.full((len(right), k), -np.inf), np.full((len(right), k), -1, np.int64)
+                        floor_r = np.full(len(right), least, np.float32)
+                    for c in range(0, len(right), TILE_COLUMNS):
+                        d = min(len(right), c + TILE_COLUMNS)
+                        block, worst = np.ascontiguousarray(right[c:d].T), float(res_r[c:d].max())
+                        for a in range(0, rows, TILE_ROWS):
+                            b = min(rows, a + TILE_ROWS)
+                            tile, hit = tile_of[: b - a, : d - c], hit_of[: b - a, : d - c]
+                            np.matmul(left[a:b], block, out=tile)
+                            slack = res_l[a:b] + worst + res_l[a:b] * worst + 1e-5
+                            # a pair survives if its upper bound reaches the floor of its row or, both ways, of its column
+                            need = floor[a:b] - slack
+                            if other == mine:
+                                i = np.arange(max(c, begin + a), min(d, begin + b))
+                                tile[i - begin - a, i - c] = -np.inf
+                            if not once and not np.isfinite(best[a:b, -1]).all() and k < d - c:
+                                need = np.maximum(need, np.partition(tile, -k, axis=1)[:, -k] - 2 * slack)
+                            np.greater_equal(tile, need[:, None], out=hit)
+                            if back:
+                                hit |= tile >= floor_r[c:d] - slack.max()
+                            if not hit.any():
+                                continue
+                            x, y = np.nonzero(hit)
+                            if vectors is None:
+                                vectors = exact(other)
+                            sim = np.einsum("ij,ij->i", own[a + x], vectors[c + y])
+                            ok = sim >= least
+                            x, y, sim = x[ok] + a, y[ok] + c, sim[ok]
+                            if not len(x):
+                                continue
+                            touched = _merge(best, who, x, y + offsets[other], sim, k)
+                            floor[touched] = np.maximum(floor[touched], best[touched, -1])
+                            if back:
+                                touched = _merge(best_r, who_r, y, x + offsets[mine] + begin, sim, k)
+                                floor_r[touched] = np.maximum(floor_r[touched], best_r[touched, -1])
+                    if back and len(at := np.argwhere(who_r >= 0)):
+                        r, c = at.T
+                        yield pa.record_batch([pa.array(offsets[other] + r), pa.array(who_r[r, c]), pa.array(best_r[r, c])], names=["a", "b", "similarity"])
                 r, c = np.nonzero(who >= 0)
                 yield pa.record_batch([pa.array(offsets[mine] + begin + r), pa.array(who[r, c]), pa.array(best[r, c])], names=["a", "b", "similarity"])
 
@@ -147,18 +174,21 @@ def _ids(packs: list[tuple[str, int, int]]) -> Callable:
     return run
 
 
-def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, *, dim: int = 64, min_similarity: float = -2.0, order_col: str | None = None) -> DataFrame:
+def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, *, dim: int = 64, min_similarity: float = -1.0, order_col: str | None = None) -> DataFrame:
     """(id, neighbor_id, similarity): up to ``k`` other vectors of the largest cosine, of at least ``min_similarity``."""
     spark = vectors.sparkSession
     ship_package(spark)
     v = F.col(vector_col).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("string").alias("id"), v.alias("v"), *([F.col(order_col).alias("o")] if order_col else [])).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
-    one = (F.max_by("v", F.struct("o", "v")) if order_col else F.max("v")).alias("v")
-    path = write_table(rows.groupBy("id").agg(one).mapInArrow(_packer(dim), _PACK), "packs", **{"parquet.block.row.count.limit": "1", "compression": "uncompressed"})
+    rows = vectors.select(F.col(id_col).cast("string").alias("id"), v.alias("v"), (F.col(order_col) if order_col else F.lit(0)).alias("o")).where(F.col("id").isNotNull() & (F.size("v") == dim))
+    rows = rows.where(~bad & F.exists("v", lambda x: x != 0)).withColumn("cls", F.struct(F.xxhash64("v").alias("p"), F.hash("v").alias("q")))
+    # equal vectors are one class: its k+1 least ids stand for all of them
+    members = cut(rows.groupBy("id").agg(F.max_by("cls", F.struct("o", "cls")).alias("cls")))
+    first = members.withColumn("i", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("i") <= k + 1).groupBy("cls").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
+    one = rows.groupBy("cls").agg(F.first("v").alias("v")).join(first.select("cls", "rep"), "cls").orderBy("rep").select("rep", "v")
+    path = write_table(one.mapInArrow(_packer(dim), _PACK), "packs", **{"parquet.block.row.count.limit": "1", "compression": "uncompressed"})
     files = spark.read.schema(_PACK).parquet(path).inputFiles()
-    # one entry per PACK_ROWS vectors
+    # one entry per PACK_ROWS vectors, in the order of the ids
     packs = [p for f in sorted(files) for p in _row_groups(f)]
     slots = 4 * parallelism(spark)
     total = sum(n for _, _, n in packs)
@@ -166,6 +196,13 @@ def most_similar(vectors: DataFrame, id_col: str, vector_col: str, k: int, *, di
     strips = [(i, a, min(n, a + step)) for i, (_, _, n) in enumerate(packs) for a in range(0, n, step)]
     work = spark.createDataFrame([(i, *s) for i, s in enumerate(strips)], "i int, pack int, first int, last int").repartitionById(max(1, len(strips)), F.col("i")).select("pack", "first", "last")
     near = work.mapInArrow(_strip(packs, dim, k, min_similarity), "a long, b long, similarity double")
-    named = spark.range(len(packs)).repartition(max(1, min(len(packs), slots))).mapInArrow(_ids(packs), "at long, id string")
-    left, right = named.toDF("a", "id"), named.toDF("b", "neighbor_id")
-    return near.join(left, "a").join(right, "b").select("id", "neighbor_id", "similarity")
+    named = spark.range(len(packs)).repartition(max(1, min(len(packs), slots))).mapInArrow(_ids(packs), "at long, rep string")
+    # per class: its own least ids and those of the nearest classes; the k+1 best of them hold the k best of every member
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+    close = near.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    others = close.join(named.toDF("a", "rep"), "a").join(named.toDF("b", "other"), "b").join(first.select(F.col("rep").alias("other"), "ids"), "other").select("rep", "similarity", F.explode("ids").alias("n"))
+    same = first.where(F.size("ids") > 1).select("rep", F.lit(1.0).alias("similarity"), F.explode("ids").alias("n"))
+    best = others.unionByName(same).groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "n"))), 1, k + 1).alias("best"))
+    lists = first.select("cls", "rep").join(best, "rep").select("cls", "best")
+    found = members.join(lists, "cls").select("id", F.explode(F.slice(F.filter("best", lambda x: x["n"] != F.col("id")), 1, k)).alias("x"))
+    return found.select("id", F.col("x.n").alias("neighbor_id"), (-F.col("x.d")).alias("similarity"))
