@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tastegrid.functions import text as T
 from tastegrid.operators import evaluation, indexes, interactions as I, profiles, ranking, rating, retrieval, stats
-from tastegrid.plans.scratch import cut
+from tastegrid.plans.scratch import cut, scratch_path
+from tastegrid.streaming import live
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -480,3 +481,83 @@ def f21_text_metrics(spark, sf_dir):
     """Unigram and longest-common-subsequence F1 of each item's summary against its name."""
     pairs = items(spark, sf_dir).select("item_id", F.regexp_extract_all(F.lower("summary"), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("a"), F.regexp_extract_all(F.lower("name"), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("b"))
     return pairs.select("item_id", F.round(evaluation.unigram_f1(F.col("a"), F.col("b")), 6).alias("unigram_f1"), F.round(evaluation.rouge_l_f1(F.col("a"), F.col("b")), 6).alias("rouge_l_f1"))
+
+
+@query
+def j18_prior_features(spark, sf_dir):
+    """Mean and number of the earlier ratings of the same user, for every training row."""
+    prior = Window.partitionBy("user_id").orderBy("ts", "review_id").rowsBetween(Window.unboundedPreceding, -1)
+    return train(spark, sf_dir).select("review_id", F.count("rating").over(prior).alias("n_prior"), F.round(F.avg("rating").over(prior), 6).alias("mean_prior"))
+
+
+@query
+def p11_cross_domain(spark, sf_dir):
+    """Test targets whose category the user never liked."""
+    liked = train(spark, sf_dir).where("rating >= 4").select("user_id", "category").distinct()
+    some = liked.select("user_id").distinct()
+    targets = test(spark, sf_dir).select("review_id", "user_id", "category")
+    return targets.join(some, "user_id", "left_semi").join(liked, ["user_id", "category"], "left_anti").select("review_id", "user_id", "category")
+
+
+@query
+def a35_merged_shards(spark, sf_dir):
+    """Errors of the calibrated head per shard of the users, merged by example counts."""
+    p = rating.predictions(rating.features(test(spark, sf_dir), train(spark, sf_dir)))
+    shards = evaluation.rating_errors(p.withColumn("shard", F.pmod(F.conv(F.substring(F.sha2("user_id", 256), 1, 2), 16, 10).cast("int"), F.lit(4))), ["head_calibrated"], "shard")
+    return evaluation.merge_shards(shards, ["mae"], "head")
+
+
+@query
+def a38_rating_summary(spark, sf_dir):
+    """Count, mean, interpolated median, range and histogram of the ratings per category."""
+    r = F.col("rating")
+    return inter(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(r), 6).alias("mean"), F.percentile(r, 0.5).alias("median"), F.min(r).alias("low"), F.max(r).alias("high"), *(F.sum((F.floor(r) == k).cast("long")).alias(f"n_{k}") for k in range(1, 6)))
+
+
+@query
+def a37_event_metrics(spark, sf_dir):
+    """Requests, users, mean and largest value per kind of event."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("requests"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+
+
+@query
+def z01_last_feedback(spark, sf_dir):
+    """The last event of each user and subject wins."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return e.groupBy("user_id", "k").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n_events"))
+
+
+@query
+def z04_stream_metrics(spark, sf_dir):
+    """The same counts kept by a stream over the events file, after all of it has arrived."""
+    import uuid
+
+    source = table(spark, sf_dir, "events")
+    name = f"metrics_{uuid.uuid4().hex}"
+    counts = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events*.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+    q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch_path(spark, "stream")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+@query
+def z03_rate_limit(spark, sf_dir):
+    """Events of each user allowed by a sliding log of at most five within a day."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").cast("double").alias("ts"))
+    return live.rate_limit(e, 5, 86_400).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("allowed").cast("long")).alias("n_allowed"))
+
+
+@query
+def e05_source_ablation(spark, sf_dir):
+    """Hit rates of the pool with each source left out in turn."""
+    _, catalogue, sources = _sources(spark, sf_dir)
+    sources = {n: cut(f) for n, f in sources.items()}
+    targets = test(spark, sf_dir).select("user_id", "item_id")
+    reports = []
+    for mask in ("none", *sources):
+        kept = {n: f for n, f in sources.items() if n != mask}
+        ranked = evaluation.target_ranks(targets, retrieval.pool(retrieval.merge(kept), catalogue))
+        reports.append(evaluation.ranking_metrics(ranked.withColumn("left_out", F.lit(mask)), (10, 100), "left_out"))
+    return evaluation.union_by_name(reports)

@@ -368,4 +368,10 @@ SQL = {
         SELECT slice, head, {_ERRORS} FROM sl GROUP BY 1, 2 HAVING count(*) >= 2""",
     "f20_item_profiles": f"""{BASE} SELECT item_id, category, round(coalesce(least(greatest((average_rating - 1) / 4, 0.0), 1.0), 0.65), 6) AS quality_score, popularity,
         array_to_string(list_transform(list_sort(list_transform((SELECT list(DISTINCT x) FROM unnest(regexp_extract_all(lower(vtxt), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}')) z(x)), lambda t: struct_pack(p := list_position(regexp_extract_all(lower(vtxt), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}'), t), t := t)))[1:32], lambda s: s.t), ' ') AS terms FROM catalogue""",
+    "j18_prior_features": f"{BASE} SELECT review_id, count(rating) OVER w AS n_prior, round(avg(rating) OVER w, 6) AS mean_prior FROM train WINDOW w AS (PARTITION BY user_id ORDER BY ts, review_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    "p11_cross_domain": f"{BASE} SELECT review_id, user_id, category FROM test t WHERE user_id IN (SELECT user_id FROM train WHERE rating >= 4) AND NOT EXISTS (SELECT 1 FROM train l WHERE l.rating >= 4 AND l.user_id = t.user_id AND l.category = t.category)",
+    "a38_rating_summary": f"{BASE} SELECT category, count(*) AS n, round(avg(rating), 6) AS mean, quantile_cont(rating, 0.5) AS median, min(rating) AS low, max(rating) AS high, {', '.join(f'count(*) FILTER (floor(rating) = {k}) AS n_{k}' for k in range(1, 6))} FROM inter GROUP BY 1",
+    "a37_event_metrics": "SELECT event_type, count(*) AS requests, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1",
+    "z01_last_feedback": "SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1, 2",
+    "z04_stream_metrics": "SELECT event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY 1",
 }
