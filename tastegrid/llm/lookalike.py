@@ -241,7 +241,7 @@ def lookalike_classes(df: DataFrame, id_col: str, text_col: str, rewriter: Rewri
     ship_package(df.sparkSession)
     rewriter = rewriter or Rewriter(rewriting(character_counts(df, text_col)))
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(_hash_mapper(rewriter), f"id {kind}, one binary, raw binary")
+    rows = cut(df.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(_hash_mapper(rewriter), f"id {kind}, one binary, raw binary"))
     several = rows.groupBy("one", "raw").agg(F.count("*").alias("n")).groupBy("one").agg(F.count("*").alias("forms")).where("forms > 1").select("one")
     return rows.join(several, "one", "left_semi").distinct()
 
