@@ -4,9 +4,9 @@ Every record gets a rate min(cap, exp(lambda_s * t)), the exponentially tilted w
 to one use of each record, with lambda_s per source such that the expected tokens of each source meet its share. The
 dual is convex; Newton steps (kept inside a bracket by bisection) run over the distributed table of
 (source, tokens, records), one aggregate per step for all sources. Rates are rounded by systematic sampling: along
-the records of a source in hash order, copies follow the running sum of rates, so the number of drawn records is
-within one of its expectation. The running sum is taken per hash bucket and bucket totals are chained, so no task
-holds a source.
+the records of a source in order of their size (then hash), copies follow the running sum of rates, so every range of
+sizes gets its expected number of copies within one, and the drawn tokens follow closely. The running sum is taken per
+(source, size, hash bucket) and the sums of these are chained, so no task holds a source.
 
 The total is given, or the largest at which every source that has tokens can reach its share under its cap.
 Sources without tokens cannot be mixed: their share is reported as 0 and the others are scaled to what they can hold.
@@ -29,8 +29,8 @@ from tastegrid.plans.scratch import cut, ship_package
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces remembered by a worker; beyond it the memory is started anew.
 _MEMO = 200_000
-#: Hash buckets per source for the running sums; also bounds the table of bucket totals.
-BUCKETS = 4096
+#: Hash buckets per source and size, so that many records of one size do not meet in one task.
+BUCKETS = 64
 
 _STATE: dict = {}
 
@@ -144,12 +144,13 @@ def mixture(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id",
         tilt = F.lit(float(caps[s])) if full else F.least(F.lit(float(caps[s])), F.exp(F.lit(lam[s] * have[s][1] / have[s][0]) * F.col("tokens")))
         rate = F.when(F.col("source") == s, tilt).otherwise(rate)
     h = F.xxhash64(F.col("id").cast("string"))
-    placed = counted.withColumn("rate", rate).withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int")).withColumn("h", h)
-    order = Window.partitionBy("source", "bucket").orderBy("h", "id")
-    mass = placed.groupBy("source", "bucket").agg(F.sum("rate").alias("mass"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("rate", rate).withColumn("h", h).withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    keys = ["source", "tokens", "bucket"]
+    mass = placed.groupBy(*keys).agg(F.sum("rate").alias("mass"))
+    before = Window.partitionBy("source").orderBy("tokens", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = mass.withColumn("offset", F.coalesce(F.sum("mass").over(before), F.lit(0.0))).drop("mass")
-    run = placed.join(F.broadcast(offset), ["source", "bucket"]).withColumn("upto", F.col("offset") + F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.join(offset, keys).withColumn("upto", F.col("offset") + F.sum("rate").over(within))
     cap = F.lit(0)
     for s, c in caps.items():
         cap = F.when(F.col("source") == s, F.lit(c)).otherwise(cap)
