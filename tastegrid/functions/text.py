@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tastegrid.functions.words import REVIEW_STOPWORDS
@@ -31,13 +33,24 @@ def map_text(column: Column, keys: bool = True) -> Column:
     return F.array_join(F.map_values(column), " ")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for an array result, with ``value`` evaluated once per row however often ``use`` names it.
+
+    Spark does not share subexpressions inside higher-order functions; a lambda variable is bound once.
+    """
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def review_terms(text: Column) -> Column:
     """Unigrams without stop words, then bigrams ``a_b`` of unequal neighbours; units are joined to their number."""
     joined = F.regexp_replace(F.lower(text), r"(\d+)\s*(oz|ml|inch|inches|count|pack)", "$1_$2")
-    base = without(terms(joined), REVIEW_STOPWORDS)
-    n = F.size(base)
-    pairs = F.when(n > 1, F.zip_with(F.slice(base, 1, F.greatest(n - 1, F.lit(1))), F.slice(base, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.when(a != b, F.concat(a, F.lit("_"), b)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(base, F.filter(pairs, lambda p: p.isNotNull()))
+
+    def with_pairs(base: Column) -> Column:
+        n = F.greatest(F.size(base) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(base, 1, n), F.slice(base, 2, n), lambda a, b: F.when(a != b, F.concat(a, F.lit("_"), b)))
+        return F.concat(base, F.array_compact(pairs))
+
+    return once(without(terms(joined), REVIEW_STOPWORDS), with_pairs)
 
 
 def one_spelling(value: Column) -> Column:

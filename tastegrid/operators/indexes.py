@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions import text as T
 from tastegrid.functions.words import ASPECT_STOPWORDS, ASPECTS
+from tastegrid.operators import stats
+from tastegrid.plans.scratch import cut
 
 #: Latest items of a user that enter co-visitation; bounds the pairs per user.
 MAX_ITEMS_PER_USER = 50
@@ -63,7 +65,7 @@ def review_term_index(train: DataFrame, items: DataFrame, per_item: int = 18) ->
     about = items.select("item_id", F.explode(T.review_terms(item_text())).alias("term"), F.lit(1.25).alias("w"))
     positive = train.where("rating >= 4")
     said = positive.select("item_id", F.explode(T.review_terms(T.join_parts(F.col("name"), F.col("category"), F.col("review")))).alias("term"), F.lit(2.0).alias("w"))
-    counts = about.unionByName(said).groupBy("item_id", "term").agg(F.sum("w").alias("tf"))
+    counts = cut(about.unionByName(said).groupBy("item_id", "term").agg(F.sum("w").alias("tf")))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = counts.select("item_id").distinct().count()
     scored = counts.join(df, "term").select("item_id", "term", F.round((1 + F.log("tf")) * F.log(1 + F.lit(float(max(n, 1))) / (1 + F.col("df"))), 4).alias("score"))
@@ -110,7 +112,7 @@ def normalised_top(counts: DataFrame, keys: list[str], value: str, tie: str, k:
 def aspect_matches(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
     """(keep..., aspect, hits): distinct keywords of each aspect in the text; aspects without a hit have no row."""
     tokens = F.array_distinct(T.without(T.terms(text), ASPECT_STOPWORDS))
-    counts = F.array(*(F.struct(F.lit(a).alias("aspect"), F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))).alias("hits")) for a, words in ASPECTS.items()))
+    counts = T.once(tokens, lambda t: F.array(*(F.struct(F.lit(a).alias("aspect"), F.size(F.array_intersect(t, F.array(*map(F.lit, words)))).alias("hits")) for a, words in ASPECTS.items())))
     return rows.select(*keep, F.explode(counts).alias("e")).select(*keep, "e.aspect", "e.hits").where("hits > 0")
 
 
@@ -154,15 +156,26 @@ def aspect_items(train: DataFrame, items: DataFrame, by_category: bool = False,
 def cosine_neighbors(train: DataFrame, items: DataFrame, k: int = 120, min_positive: int = 1, per_user: int = 500) -> DataFrame:
     """(item_id, neighbor_id, score, rank): cosine of item columns of the user-item matrix (ratings summed, floor 0.1).
 
-    Only items with ``min_positive`` positive ratings are sources. Users with more than ``per_user`` items would
-    give quadratic pairs in one task; their vectors are split by item blocks and joined block by block instead.
+    Only items with ``min_positive`` positive ratings are sources. Items are numbered in the order of their ids, so products
+    and ties are handled on numbers and each unordered pair is multiplied once. A user with more than ``per_user`` items is
+    cut into blocks that are joined block by block, so no task holds all of a user's pairs.
     """
-    cells = train.join(items.select("item_id").distinct(), "item_id", "left_semi").groupBy("user_id", "item_id").agg(F.sum(F.greatest("rating", F.lit(0.1))).alias("v"))
-    norm = cells.groupBy("item_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    block = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")) - 1) / per_user)
-    lists = cells.withColumn("block", block).groupBy("user_id", "block").agg(F.collect_list(F.struct("item_id", "v")).alias("xs"))
-    pairs = lists.toDF("user_id", "lb", "ls").join(lists.toDF("user_id", "rb", "rs"), "user_id").select(F.explode("ls").alias("l"), "rs").select("l", F.explode("rs").alias("r")).where("l.item_id <> r.item_id")
-    dots = pairs.groupBy(F.col("l.item_id").alias("item_id"), F.col("r.item_id").alias("neighbor_id")).agg(F.sum(F.col("l.v") * F.col("r.v")).alias("dot"))
-    sources = train.where("rating >= 4").groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_positive).select("item_id")
-    scored = dots.join(sources, "item_id", "left_semi").join(norm, "item_id").join(norm.toDF("neighbor_id", "other"), "neighbor_id").select("item_id", "neighbor_id", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6).alias("score"))
-    return top(scored, ["item_id"], [F.desc("score"), "neighbor_id"], k)
+    known = items.select("item_id").distinct()
+    number = cut(stats.ranked_globally(known, [F.col("item_id")], "i").select("item_id", "i"))
+    cells = train.join(number, "item_id").groupBy("user_id", "i").agg(F.sum(F.greatest("rating", F.lit(0.1))).alias("v"))
+    cells = cut(cells)
+    norm = cells.groupBy("i").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    block = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("i")) - 1) / per_user)
+    lists = cut(cells.withColumn("block", block).groupBy("user_id", "block").agg(F.collect_list(F.struct("i", "v")).alias("xs")))
+    within = lists.select(F.col("xs").alias("ls"), F.col("xs").alias("rs"))
+    large = lists.join(lists.where("block > 0").select("user_id").distinct(), "user_id", "left_semi")
+    across = large.toDF("user_id", "lb", "ls").join(large.toDF("user_id", "rb", "rs"), "user_id").where("lb < rb").select("ls", "rs")
+    pairs = within.unionByName(across).select(F.explode("ls").alias("l"), "rs").select("l", F.explode("rs").alias("r"))
+    # blocks hold ascending numbers: across blocks l < r always, within one block each pair is kept once
+    dots = pairs.where("l.i < r.i").groupBy(F.col("l.i").alias("a"), F.col("r.i").alias("b")).agg(F.sum(F.col("l.v") * F.col("r.v")).alias("dot"))
+    scored = dots.join(norm.toDF("a", "na"), "a").join(norm.toDF("b", "nb"), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score"))
+    both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "score"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))).alias("e")).select("e.*")
+    sources = train.where("rating >= 4").groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_positive).join(number, "item_id").select(F.col("i").alias("src"))
+    best = top(both, ["src"], [F.desc("score"), "dst"], k).join(sources, "src", "left_semi")
+    names = number.select(F.col("i").alias("dst"), F.col("item_id").alias("neighbor_id"))
+    return best.join(number.select(F.col("i").alias("src"), "item_id"), "src").join(names, "dst").select("item_id", "neighbor_id", "score", "rank")
