@@ -91,19 +91,19 @@ def j04_histories(spark, sf_dir):
 
 
 @query
-def p07_stride_sample(spark, sf_dir):
+def proj07_stride_sample(spark, sf_dir):
     """200 evenly spread test rows."""
     return I.stride_sample(test(spark, sf_dir), ["review_id"], 200).select("review_id", "ordinal")
 
 
 @query
-def p08_shards(spark, sf_dir):
+def proj08_shards(spark, sf_dir):
     """Shard 1 of 3 of the test rows."""
     return I.shard(test(spark, sf_dir), ["review_id"], 3, 1).select("review_id")
 
 
 @query
-def p09_history_buckets(spark, sf_dir):
+def proj09_history_buckets(spark, sf_dir):
     """Both bucketings of test users by training history."""
     sizes = train(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
     rows = test(spark, sf_dir).join(sizes, "user_id").select(I.history_bucket(F.col("n")).alias("ranking_bucket"), I.rating_bucket(F.col("n")).alias("rating_bucket"))
@@ -111,7 +111,7 @@ def p09_history_buckets(spark, sf_dir):
 
 
 @query
-def p16_items_with_popularity(spark, sf_dir):
+def proj16_items_with_popularity(spark, sf_dir):
     """Catalogue popularity replaced by training likes where there are some."""
     likes = train(spark, sf_dir).where("rating >= 4").groupBy("item_id").agg(F.count("*").alias("likes"))
     return items(spark, sf_dir).join(likes, "item_id", "left").select("item_id", F.coalesce("likes", "popularity").alias("popularity"))
@@ -491,7 +491,7 @@ def j18_prior_features(spark, sf_dir):
 
 
 @query
-def p11_cross_domain(spark, sf_dir):
+def proj11_cross_domain(spark, sf_dir):
     """Test targets whose category the user never liked."""
     liked = train(spark, sf_dir).where("rating >= 4").select("user_id", "category").distinct()
     some = liked.select("user_id").distinct()

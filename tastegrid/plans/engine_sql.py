@@ -307,12 +307,12 @@ SQL = {
     "j01_reviews_with_metadata": f"{BASE} SELECT r.review_id, r.item_id, coalesce(c.name, r.name) AS name, coalesce(c.category, r.category) AS category FROM inter r LEFT JOIN catalogue c USING (item_id)",
     "w01_temporal_split": f"{BASE} SELECT review_id, is_test FROM placed",
     "j04_histories": f"{BASE} SELECT user_id, string_agg(item_id, ',' ORDER BY ts, review_id) AS items FROM hist GROUP BY 1",
-    "p07_stride_sample": f"""{BASE}, o AS (SELECT review_id, row_number() OVER (ORDER BY review_id) - 1 AS ordinal FROM test), m AS (SELECT count(*) AS n FROM test)
+    "proj07_stride_sample": f"""{BASE}, o AS (SELECT review_id, row_number() OVER (ORDER BY review_id) - 1 AS ordinal FROM test), m AS (SELECT count(*) AS n FROM test)
         SELECT review_id, ordinal FROM o WHERE ordinal IN (SELECT least((i * n) // least(200, n), n - 1) FROM range(200) r(i), m)""",
-    "p08_shards": f"{BASE} SELECT review_id FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) - 1 AS i FROM test) WHERE i % 3 = 1",
-    "p09_history_buckets": f"""{BASE}, s AS (SELECT user_id, count(*) AS n FROM hist GROUP BY 1)
+    "proj08_shards": f"{BASE} SELECT review_id FROM (SELECT review_id, row_number() OVER (ORDER BY review_id) - 1 AS i FROM test) WHERE i % 3 = 1",
+    "proj09_history_buckets": f"""{BASE}, s AS (SELECT user_id, count(*) AS n FROM hist GROUP BY 1)
         SELECT CASE WHEN n <= 2 THEN 'sparse' WHEN n <= 7 THEN 'medium' ELSE 'warm' END AS ranking_bucket, CASE WHEN n <= 2 THEN 'light' WHEN n <= 9 THEN 'medium' ELSE 'warm' END AS rating_bucket, count(*) AS n_users FROM s GROUP BY 1, 2""",
-    "p16_items_with_popularity": f"{BASE}, l AS (SELECT item_id, count(*) AS c FROM train WHERE rating >= 4 GROUP BY 1) SELECT item_id, coalesce(c, popularity) AS popularity FROM catalogue LEFT JOIN l USING (item_id)",
+    "proj16_items_with_popularity": f"{BASE}, l AS (SELECT item_id, count(*) AS c FROM train WHERE rating >= 4 GROUP BY 1) SELECT item_id, coalesce(c, popularity) AS popularity FROM catalogue LEFT JOIN l USING (item_id)",
     "a02_item_rollup": f"{BASE} SELECT item_id, count(*) AS n, avg(rating) AS mean, arg_min(name, struct_pack(ts := ts, review_id := review_id)) AS name, arg_min(category, struct_pack(ts := ts, review_id := review_id)) AS category FROM inter GROUP BY 1",
     "a03_global_stats": _stats(),
     "a03_user_stats": _stats("user_id"),
@@ -369,7 +369,7 @@ SQL = {
     "f20_item_profiles": f"""{BASE} SELECT item_id, category, round(coalesce(least(greatest((average_rating - 1) / 4, 0.0), 1.0), 0.65), 6) AS quality_score, popularity,
         array_to_string(list_transform(list_sort(list_transform((SELECT list(DISTINCT x) FROM unnest(regexp_extract_all(lower(vtxt), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}')) z(x)), lambda t: struct_pack(p := list_position(regexp_extract_all(lower(vtxt), '[a-zA-Z][a-zA-Z0-9_-]{{2,}}'), t), t := t)))[1:32], lambda s: s.t), ' ') AS terms FROM catalogue""",
     "j18_prior_features": f"{BASE} SELECT review_id, count(rating) OVER w AS n_prior, round(avg(rating) OVER w, 6) AS mean_prior FROM train WINDOW w AS (PARTITION BY user_id ORDER BY ts, review_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-    "p11_cross_domain": f"{BASE} SELECT review_id, user_id, category FROM test t WHERE user_id IN (SELECT user_id FROM train WHERE rating >= 4) AND NOT EXISTS (SELECT 1 FROM train l WHERE l.rating >= 4 AND l.user_id = t.user_id AND l.category = t.category)",
+    "proj11_cross_domain": f"{BASE} SELECT review_id, user_id, category FROM test t WHERE user_id IN (SELECT user_id FROM train WHERE rating >= 4) AND NOT EXISTS (SELECT 1 FROM train l WHERE l.rating >= 4 AND l.user_id = t.user_id AND l.category = t.category)",
     "a38_rating_summary": f"{BASE} SELECT category, count(*) AS n, round(avg(rating), 6) AS mean, quantile_cont(rating, 0.5) AS median, min(rating) AS low, max(rating) AS high, {', '.join(f'count(*) FILTER (floor(rating) = {k}) AS n_{k}' for k in range(1, 6))} FROM inter GROUP BY 1",
     "a37_event_metrics": "SELECT event_type, count(*) AS requests, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1",
     "z01_last_feedback": "SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1, 2",
