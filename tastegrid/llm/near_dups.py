@@ -2,6 +2,7 @@
 
 A text's *class* is the hash of its whole word sequence, so repeated texts are one
 class from the first step on and a hot text costs one key per task, not one per row.
+A text of fewer words than a run has one run, its whole word sequence.
 
 Defined results: null texts and texts of fewer than ``min_words`` words belong to no
 pair and no group; repeated record ids count once; an empty table gives no rows; further
@@ -45,15 +46,26 @@ def bands_for(similarity: float, miss: float = 0.0165, most: int = 64) -> Bands:
     raise ValueError("no banding reaches this similarity")
 
 
-def _prepared(texts: list[str | None], min_words: int, k: int) -> tuple[K.Words, np.ndarray, np.ndarray]:
+def _prepared(texts: list[str | None], min_words: int) -> tuple[K.Words, np.ndarray, np.ndarray]:
     """Long enough texts: their words, their positions in ``texts``, their class hashes."""
     words = K.ascii_words(texts)
-    keep = words.count >= max(min_words, k)
+    keep = words.count >= max(min_words, 1)
     rows = np.flatnonzero(keep)
     words = K.select(words, keep)
     return words, rows, K.sequence_hash(words)
 
 
+def _runs(words: K.Words, cls: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, doc) of every run of k words, texts in order; the class of a text of fewer words is its one run."""
+    value, doc, _ = K.grams(words, k)
+    short = np.flatnonzero(words.count < k)
+    if not len(short):
+        return value, doc
+    value, doc = np.concatenate((value, cls[short].view(np.uint64))), np.concatenate((doc, short))
+    order = np.argsort(doc, kind="stable")
+    return value[order], doc[order]
+
+
 def _starts(doc: np.ndarray, n_docs: int) -> np.ndarray:
     counts = np.bincount(doc, minlength=n_docs)
     return np.concatenate(([0], np.cumsum(counts)[:-1])) if n_docs else counts
@@ -91,10 +103,10 @@ def _key_mapper(text: int, k: int, min_words: int, bands: Bands, parts: int, see
         held, size = [], 0
         for batch in batches:
             for _, texts in K.slices(batch.column(text)):
-                words, rows, cls = _prepared(texts, min_words, k)
+                words, rows, cls = _prepared(texts, min_words)
                 if not len(rows):
                     continue
-                value, doc, _ = K.grams(words, k)
+                value, doc = _runs(words, cls, k)
                 minimum = K.minima(value, _starts(doc, len(rows)), bands.rows * bands.bands, seed).astype(np.uint64)
                 key = np.repeat(np.arange(bands.bands, dtype=np.uint64)[:, None], len(rows), axis=1)
                 for r in range(bands.rows):
@@ -141,14 +153,14 @@ def _sketch_mapper(text: int, k: int, min_words: int, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in K.slices(batch.column(text)):
-                words, rows, cls = _prepared(texts, min_words, k)
+                words, rows, cls = _prepared(texts, min_words)
                 if not len(rows):
                     continue
                 _, first = np.unique(cls, return_index=True)
                 keep = np.zeros(len(rows), bool)
                 keep[first] = True
                 words, cls = K.select(words, keep), cls[keep]
-                value, doc, _ = K.grams(words, k)
+                value, doc = _runs(words, cls, k)
                 parts = K.sketches(K.minima(value, _starts(doc, len(cls)), K.SKETCH_MINIMA, seed))
                 yield pa.record_batch([pa.array((cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)), *map(pa.array, parts)], names=["id", *K.SKETCH])
 
@@ -162,13 +174,13 @@ def _member_mapper(rid: int, text: int, k: int, min_words: int, wanted: K.IdFilt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in K.slices(batch.column(text)):
-                words, rows, cls = _prepared(texts, min_words, k)
+                words, rows, cls = _prepared(texts, min_words)
                 ids = (cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)
                 keep = wanted.mask(ids) if len(ids) else np.zeros(0, bool)
                 if not keep.any():
                     continue
                 words, rows, cls, ids = K.select(words, keep), rows[keep], cls[keep], ids[keep]
-                value, doc, _ = K.grams(words, k)
+                value, doc = _runs(words, cls, k)
                 start = np.concatenate((_starts(doc, len(rows)), [len(value)]))
                 _, first = np.unique(cls, return_index=True)
                 sets: list[bytes | None] = [None] * len(rows)
@@ -278,17 +290,22 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {limit} rounds")
 
 
-def groups(found: NearDuplicates) -> DataFrame:
+def groups(found: NearDuplicates, everyone: DataFrame | None = None) -> DataFrame:
     """(rid, group_id, n_links): the records with a near-duplicate or copy, their group and linked classes.
 
     ``group_id`` is the least record id of the group; ``n_links`` counts other texts linked to the record's text.
+    With ``everyone``, whose first column holds record ids, each of them has a row: a record without a partner is a group of its own.
     """
     roots = components(found.links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
     ends = found.links.select(F.col("cls_a").alias("cls")).union(found.links.select(F.col("cls_b").alias("cls")))
     degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
     placed = found.members.join(roots, F.col("cls") == F.col("node"), "left").join(degree, "cls", "left").select("rid", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = placed.groupBy("root").agg(F.min("rid").alias("group_id"), F.count("*").alias("n")).where("n > 1")
-    return placed.join(named, "root").select("rid", "group_id", "n_links")
+    grouped = placed.join(named, "root").select("rid", "group_id", "n_links")
+    if everyone is None:
+        return grouped
+    ids = everyone.select(F.col(everyone.columns[0]).cast("string").alias("rid")).where("rid is not null").distinct()
+    return ids.join(grouped, "rid", "left").select("rid", F.coalesce("group_id", "rid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

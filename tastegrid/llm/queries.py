@@ -86,9 +86,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train records with near-duplicates or copies (five-word runs, similarity 0.8): group and number of links."""
+    """Every train record's group (five-word runs, similarity 0.8) and number of links; alone without a near-duplicate or copy."""
     train = _table(spark, sf_dir, "reviews").where("split_name = 'train'")
-    return near_dups.groups(near_dups.find(train, "review_id", "review")).select(F.col("rid").alias("review_id"), "group_id", "n_links")
+    return near_dups.groups(near_dups.find(train, "review_id", "review"), train.select("review_id")).select(F.col("rid").alias("review_id"), "group_id", "n_links")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,18 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert grouped == {i: root(i) for pair in got for i in pair}
 
 
+def test_short_copies_are_groups_and_every_record_has_a_row(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = {"a": "Love it", "b": "love, it!", "c": "it love", "d": "love", "e": "LOVE", "f": "one two three four", "g": "one two three four five", "h": long, "i": long + " tail", "j": None, "k": "!!!", "l": "one two three four"}
+    df = spark.createDataFrame([*texts.items(), (None, "love it"), ("a", "Love it")], "rid string, t string")
+    found = near_dups.find(df, "rid", "t")
+    got = {r["rid"]: (r["group_id"], r["n_links"]) for r in near_dups.groups(found, df.select("rid")).collect()}
+    partners = {"a": ("a", 0), "b": ("a", 0), "d": ("d", 0), "e": ("d", 0), "f": ("f", 0), "l": ("f", 0), "h": ("h", 1), "i": ("h", 1)}
+    assert got == {i: (i, 0) for i in texts} | partners
+    assert near_dups.groups(found, df.select("rid")).count() == len(texts)
+    assert {r["rid"] for r in near_dups.groups(found).collect()} == set(partners)
+
+
 def test_overlaps_equal_brute_force(spark):
     rows = _rows(3)
     once = {r[0]: r for r in rows if r[0] and r[3]}
