@@ -94,10 +94,33 @@ def evidence_graph(history: DataFrame, transitions: DataFrame, aspects: DataFram
     return top(scored.select("user_id", "item_id", "score", "source"), ["user_id"], [F.desc("score"), "item_id"], limit)
 
 
-def bm25(queries: DataFrame, index: DataFrame, limit: int = 35) -> DataFrame:
-    """(user_id, item_id, score, rank) for ``queries(user_id, term, times)``; repeated query terms count repeatedly."""
+GRAPH_SOURCES = ("sequential_transition", "category_transition", "aspect_evidence_graph", "category_aspect_graph")
+
+
+def graph_sources(graph: DataFrame, history: DataFrame, budget: int = 36, sparse_budget: int = 48) -> dict[str, DataFrame]:
+    """The first ``budget`` graph candidates of a user (``sparse_budget`` at two history rows or fewer), apart by source and ranked within it."""
+    sizes = history.groupBy("user_id").agg(F.when(F.count("*") <= 2, sparse_budget).otherwise(budget).alias("budget"))
+    kept = graph.join(sizes, "user_id").where("rank <= budget")
+    order = Window.partitionBy("user_id", "source").orderBy("rank")
+    placed = kept.withColumn("rank", F.row_number().over(order)).select("user_id", "item_id", "score", "rank", "source")
+    return {name: placed.where(F.col("source") == name).drop("source") for name in GRAPH_SOURCES}
+
+
+def bm25(queries: DataFrame, index: DataFrame, limit: int = 35, history: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, score, rank) for ``queries(user_id, term, times)``; repeated query terms count repeatedly.
+
+    With ``history``, the first ``limit`` outside it, still as shares of the best item of all.
+    """
     score = indexes.bm25_score(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"))
-    return normalised(queries.join(index, "term").groupBy("user_id", "item_id").agg(F.sum(F.col("times") * score).alias("raw")), limit)
+    raw = queries.join(index, "term").groupBy("user_id", "item_id").agg(F.sum(F.col("times") * score).alias("raw"))
+    if history is None:
+        return normalised(raw, limit)
+    known = history.select("user_id", "item_id", F.lit(True).alias("seen")).distinct()
+    marked = raw.join(known, ["user_id", "item_id"], "left").withColumns({"raw": F.round("raw", 9), "seen": F.coalesce("seen", F.lit(False))})
+    kept = top(marked, ["user_id", "seen"], [F.desc("raw"), "item_id"], limit)
+    peak = F.max("raw").over(Window.partitionBy("user_id"))
+    scored = kept.withColumn("score", F.round(F.least(F.col("raw") / F.when(peak != 0, peak).otherwise(1.0), F.lit(1.0)), 4))
+    return scored.where("not seen").select("user_id", "item_id", "score", "rank")
 
 
 def preferred_categories(history: DataFrame, most: int = 5) -> DataFrame:

@@ -333,8 +333,7 @@ def r08_evidence_graph(spark, sf_dir):
 def r13_bm25(spark, sf_dir):
     """BM25 candidates of test users for their liked terms."""
     t, history = _history(spark, sf_dir)
-    words = profiles.top_terms(history).where("mood = 'liked'").select("user_id", "term", F.lit(1).alias("times"))
-    return retrieval.bm25(words, indexes.bm25_index(items(spark, sf_dir)))
+    return retrieval.bm25(_liked_words(history), indexes.bm25_index(items(spark, sf_dir)))
 
 
 @query
@@ -351,13 +350,26 @@ def r26_global_popular(spark, sf_dir):
     return retrieval.global_popular(history, items(spark, sf_dir))
 
 
+def _liked_words(history: DataFrame) -> DataFrame:
+    return profiles.top_terms(history).where("mood = 'liked'").select("user_id", "term", F.lit(1).alias("times"))
+
+
 def _sources(spark, sf_dir):
+    """History, catalogue and every built source by its name; the graph's candidates stand under their strongest kind of edge."""
     t, history = _history(spark, sf_dir)
     t, history, catalogue = cut(t), cut(history), cut(items(spark, sf_dir))
+    terms = cut(indexes.review_term_index(t, catalogue))
+    posted = cut(indexes.postings(terms))
+    preferred = cut(retrieval.preferred_categories(history))
+    graph = retrieval.evidence_graph(history, indexes.transitions(t), indexes.aspect_items(t, catalogue), indexes.aspect_items(t, catalogue, by_category=True), indexes.user_aspects(history), preferred)
     return history, catalogue, {
         "co_visitation": retrieval.co_visitation(history, indexes.covisitation(t)),
         "user_neighbor": retrieval.user_neighbors(history, indexes.item_positive_users(t), indexes.user_positive_items(t)),
         "implicit_item_item": retrieval.implicit_items(history, indexes.cosine_neighbors(t, catalogue)),
+        "review_term_profile": retrieval.review_terms(history, terms, posted, preferred, catalogue),
+        "lexical_item_neighbor": retrieval.lexical_neighbors(history, terms, posted),
+        **retrieval.graph_sources(cut(graph), history),
+        "bm25_profile": retrieval.bm25(_liked_words(history), indexes.bm25_index(catalogue), history=history),
         "category_affinity_popular": retrieval.category_popular(history, catalogue),
         "global_popular": retrieval.global_popular(history, catalogue),
     }
@@ -365,7 +377,7 @@ def _sources(spark, sf_dir):
 
 @query
 def u02_candidate_pool(spark, sf_dir):
-    """Merged pool of five sources, 100 candidates per user by selection priority."""
+    """Merged pool of all built sources, 100 candidates per user by selection priority."""
     _, catalogue, sources = _sources(spark, sf_dir)
     return retrieval.pool(retrieval.merge(sources), catalogue).select("user_id", "item_id", "n_sources", "priority", "rank")
 
@@ -412,10 +424,10 @@ def a33_miss_causes(spark, sf_dir):
 
 @query
 def a32_source_diagnostics(spark, sf_dir):
-    """Candidates, hits and recall per source."""
+    """Candidates, hits and recall per source; null for sources that did not run."""
     _, _, sources = _sources(spark, sf_dir)
     long = evaluation.union_by_name([f.withColumn("source", F.lit(n)) for n, f in sources.items()])
-    return evaluation.source_diagnostics(long, test(spark, sf_dir))
+    return evaluation.source_diagnostics(long, test(spark, sf_dir), sources)
 
 
 @query
@@ -549,15 +561,31 @@ def z03_rate_limit(spark, sf_dir):
     return live.rate_limit(e, 5, 86_400).groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("allowed").cast("long")).alias("n_allowed"))
 
 
+# Sources that every run of the ablation leaves out, and those that each mask leaves out besides.
+ABLATION_BASE = ("vector_profile", "bm25_profile", "beauty_sparse_tail", "sparse_category_tail")
+ABLATIONS = {
+    "lean": (),
+    "no_implicit_item_item": ("implicit_item_item",),
+    "no_co_visitation": ("co_visitation",),
+    "no_user_neighbor": ("user_neighbor",),
+    "no_collaborative": ("co_visitation", "implicit_item_item", "user_neighbor", "sequential_transition", "category_transition"),
+    "no_review_terms": ("review_term_profile", "beauty_review_term_profile", "lexical_item_neighbor", "beauty_lexical_item_neighbor"),
+    "no_evidence_graph": ("aspect_evidence_graph", "category_aspect_graph", "sequential_transition", "category_transition"),
+    "no_aspect_taxonomy": ("aspect_profile", "beauty_aspect_profile", "beauty_taxonomy_aspect", "beauty_taxonomy_window"),
+    "no_popularity_fallback": ("category_affinity_popular", "category_popular", "global_popular"),
+}
+
+
 @query
 def e05_source_ablation(spark, sf_dir):
-    """Hit rates of the pool with each source left out in turn."""
+    """Hit rates of the pool under each mask of sources; ``not_run`` names those of the mask that are not built and so change nothing."""
     _, catalogue, sources = _sources(spark, sf_dir)
-    sources = {n: cut(f) for n, f in sources.items()}
+    lean = {n: cut(f) for n, f in sources.items() if n not in ABLATION_BASE}
     targets = test(spark, sf_dir).select("user_id", "item_id")
     reports = []
-    for mask in ("none", *sources):
-        kept = {n: f for n, f in sources.items() if n != mask}
-        ranked = evaluation.target_ranks(targets, retrieval.pool(retrieval.merge(kept), catalogue))
-        reports.append(evaluation.ranking_metrics(ranked.withColumn("left_out", F.lit(mask)), (10, 100), "left_out"))
+    for mask, names in ABLATIONS.items():
+        kept = {n: f for n, f in lean.items() if n not in names}
+        ranked = evaluation.target_ranks(targets, retrieval.pool(retrieval.merge(kept), catalogue)).withColumn("left_out", F.lit(mask))
+        absent = ",".join(n for n in names if n not in sources)
+        reports.append(evaluation.ranking_metrics(ranked, (10, 100), "left_out").withColumn("not_run", F.lit(absent)))
     return evaluation.union_by_name(reports)
