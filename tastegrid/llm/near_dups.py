@@ -37,7 +37,7 @@ class Bands:
     bands: int
 
 
-def bands_for(similarity: float, miss: float = 0.0165, most: int = 64) -> Bands:
+def bands_for(similarity: float, miss: float = 0.016, most: int = 65) -> Bands:
     """Longest bands that miss at most ``miss`` of the pairs exactly at the threshold, within ``most`` bands."""
     for rows in range(10, 0, -1):
         need = int(np.ceil(np.log(miss) / np.log1p(-(similarity**rows)))) if similarity**rows < 1 else 1
@@ -223,7 +223,7 @@ def find(records: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, si
     """Pairs of texts whose sets of ``shingle``-word runs have Jaccard similarity of at least ``similarity``.
 
     Candidates come from min-hash bands, are thinned by a signature of 128 two-bit minima and decided
-    exactly on the full sets. ``bands`` defaults to the longest bands that lose under 1.65 % of
+    exactly on the full sets. ``bands`` defaults to the longest bands that lose at most 1.6 % of
     pairs exactly at the threshold (and quickly fewer above it).
     """
     spark = records.sparkSession

@@ -157,3 +157,9 @@ def test_bands_reach_the_promised_recall():
     for s in (0.5, 0.8):
         b = near_dups.bands_for(s)
         assert (1 - s**b.rows) ** b.bands <= 0.0165
+
+
+def test_bands_miss_at_most_sixteen_in_a_thousand():
+    for s in (0.5, 0.8):
+        b = near_dups.bands_for(s)
+        assert (1 - s**b.rows) ** b.bands <= 0.016
