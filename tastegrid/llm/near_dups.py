@@ -2,6 +2,8 @@
 
 A text's *class* is the hash of its whole word sequence, so repeated texts are one
 class from the first step on and a hot text costs one key per task, not one per row.
+Band keys carry the upper 40 bits of a class as its *id*; classes that share an id are
+told apart by the sketches and the exact check, so ids only save bytes.
 A text of fewer words than a run has one run, its whole word sequence.
 
 Defined results: null texts and texts of fewer than ``min_words`` words belong to no
@@ -162,7 +164,7 @@ def _sketch_mapper(text: int, k: int, min_words: int, seed: int) -> Callable:
                 words, cls = K.select(words, keep), cls[keep]
                 value, doc = _runs(words, cls, k)
                 parts = K.sketches(K.minima(value, _starts(doc, len(cls)), K.SKETCH_MINIMA, seed))
-                yield pa.record_batch([pa.array((cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)), *map(pa.array, parts)], names=["id", *K.SKETCH])
+                yield pa.record_batch([pa.array((cls.view(np.uint64) >> _ID_SHIFT).astype(np.int64)), pa.array(cls), *map(pa.array, parts)], names=["id", "cls", *K.SKETCH])
 
     return run
 
@@ -235,16 +237,17 @@ def find(records: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, si
     keys = texts.mapInArrow(_key_mapper(0, shingle, min_words, bands, parts, seed), "part int, keys binary, ids binary")
     hits = keys.repartitionById(parts, F.col("part")).mapInArrow(_bucket_pairs, "a long, b long")
     candidates = cut(hits.distinct())
-    sketch = texts.mapInArrow(_sketch_mapper(0, shingle, min_words, seed + 1), "id long, s0 long, s1 long, s2 long, s3 long").groupBy("id").agg(*(F.first(c).alias(c) for c in K.SKETCH))
+    sketch = texts.mapInArrow(_sketch_mapper(0, shingle, min_words, seed + 1), "id long, cls long, s0 long, s1 long, s2 long, s3 long").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("id", *K.SKETCH))).drop("cls")
     left, right = (sketch.toDF(side, *(f"{side}_{c}" for c in K.SKETCH)) for side in "ab")
-    near = candidates.where("a <> b").join(left, "a").join(right, "b").where(K.sketch_distance("a", "b") <= K.sketch_limit(similarity)).select("a", "b")
+    near = candidates.where("a <> b").join(left, "a").join(right, "b").where(K.sketch_distance("a", "b") <= K.sketch_limit(similarity)).select("a", "b").distinct()
     near = cut(near.union(candidates.where("a = b").select("a", "b")))
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     chosen = source.mapInArrow(_member_mapper(0, 1, shingle, min_words, K.id_filter(wanted, "id")), "id long, cls long, rid string, grams binary")
     full = cut(chosen.join(wanted, "id", "left_semi"))
     sets = full.where(F.col("grams").isNotNull()).groupBy("cls").agg(F.first("id").alias("id"), F.first("grams").alias("grams"))
     a, b = sets.toDF("cls_a", "a", "grams_a"), sets.toDF("cls_b", "b", "grams_b")
-    paired = near.where("a <> b").join(a, "a").join(b, "b").select("cls_a", "grams_a", "cls_b", "grams_b")
+    shared = sets.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    paired = near.where("a <> b").union(shared).join(a, "a").join(b, "b").where("a <> b or cls_a < cls_b").select("cls_a", "grams_a", "cls_b", "grams_b")
     links = paired.mapInArrow(_verifier(similarity), "cls_a long, cls_b long, similarity double")
     return NearDuplicates(cut(links), full.select("cls", "rid").distinct())
 

@@ -163,3 +163,18 @@ def test_bands_miss_at_most_sixteen_in_a_thousand():
     for s in (0.5, 0.8):
         b = near_dups.bands_for(s)
         assert (1 - s**b.rows) ** b.bands <= 0.016
+
+
+def test_texts_that_share_an_id_keep_their_links(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near_dups, "_ID_SHIFT", np.uint64(62))
+    rng = random.Random(4)
+    rows = []
+    for n in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        rows += [(f"a{n:02}", " ".join(w)), (f"b{n:02}", " ".join(w + ["tail"])), (f"c{n:02}", " ".join(w))]
+    found = near_dups.find(spark.createDataFrame(rows, "rid string, t string"), "rid", "t")
+    assert found.links.count() == 12
+    got = sorted(tuple(r) for r in near_dups.record_pairs(found).collect())
+    assert got == sorted((x + f"{n:02}", y + f"{n:02}") for n in range(12) for x, y in ("ab", "ac", "bc"))
