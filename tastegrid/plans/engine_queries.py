@@ -261,7 +261,7 @@ def a22_item_aspects(spark, sf_dir):
 
 @query
 def a23_dataset_summary(spark, sf_dir):
-    """Counts, exact distincts, histogram, time range, density."""
+    """A26 and the counts of A23: exact distincts, histogram, time range, density of the valid interactions."""
     return stats.dataset_summary(inter(spark, sf_dir))
 
 
@@ -377,7 +377,7 @@ def _sources(spark, sf_dir):
 
 @query
 def u02_candidate_pool(spark, sf_dir):
-    """Merged pool of all built sources, 100 candidates per user by selection priority."""
+    """Merged pool of all built sources, 100 candidates per user by selection priority."""
     _, catalogue, sources = _sources(spark, sf_dir)
     return retrieval.pool(retrieval.merge(sources), catalogue).select("user_id", "item_id", "n_sources", "priority", "rank")
 
@@ -424,7 +424,7 @@ def a33_miss_causes(spark, sf_dir):
 
 @query
 def a32_source_diagnostics(spark, sf_dir):
-    """Candidates, hits and recall per source; null for sources that did not run."""
+    """A31 and the sources of A32, without families and misses: candidates, hits and recall per source; null for sources that did not run."""
     _, _, sources = _sources(spark, sf_dir)
     long = evaluation.union_by_name([f.withColumn("source", F.lit(n)) for n, f in sources.items()])
     return evaluation.source_diagnostics(long, test(spark, sf_dir), sources)
@@ -490,7 +490,7 @@ def f20_item_profiles(spark, sf_dir):
 
 @query
 def f21_text_metrics(spark, sf_dir):
-    """Unigram and longest-common-subsequence F1 of each item's summary against its name."""
+    """unigram and longest-common-subsequence F1 of each item's summary against its name."""
     pairs = items(spark, sf_dir).select("item_id", F.regexp_extract_all(F.lower("summary"), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("a"), F.regexp_extract_all(F.lower("name"), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("b"))
     return pairs.select("item_id", F.round(evaluation.unigram_f1(F.col("a"), F.col("b")), 6).alias("unigram_f1"), F.round(evaluation.rouge_l_f1(F.col("a"), F.col("b")), 6).alias("rouge_l_f1"))
 
@@ -528,7 +528,7 @@ def a38_rating_summary(spark, sf_dir):
 
 @query
 def a37_event_metrics(spark, sf_dir):
-    """Requests, users, mean and largest value per kind of event."""
+    """Requests, users, mean and largest value per kind of event."""
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("requests"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
 
