@@ -439,7 +439,7 @@ def m03_rating_features(spark, sf_dir):
 
 @query
 def a27_rating_errors(spark, sf_dir):
-    """MAE and RMSE of all prediction heads."""
+    """MAE and RMSE of the built prediction heads, without M05."""
     return evaluation.rating_errors(rating.predictions(rating.features(test(spark, sf_dir), train(spark, sf_dir))), rating.HEADS)
 
 
