@@ -1,10 +1,9 @@
 """Overlaps between evaluation and training splits by an edit-distance segment join on words.
 
-An evaluation text of n words is cut into k+1 = n // SEGMENT segments of SEGMENT words. A training
-text that comes from it by at most k spread word edits holds one segment unchanged, so the segments
-are matched against every run of SEGMENT words of the training texts. Allowed positions are those at
-which the lengths still permit the demanded similarity; block moves keep no position, so within that
-the position is free. Matches are thinned by a signature of 128 two-bit minima, then verified by banded dynamic
+Every run of SEGMENT words of an evaluation text is matched against every run of SEGMENT words of the training
+texts, whatever its position, as block moves keep none. Texts of 20 words or more that share half of their
+runs of three words share a run of five: blocks of four words hold two common runs each, and between
+two blocks each text loses two more or an edit loses five in all (runs that repeat within a text aside). Matches are thinned by a signature of 128 two-bit minima, then verified by banded dynamic
 programming over words (edit distance), and by the exact share of common runs of three words, which
 decides pairs with block moves that no band holds. Texts below ``min_words`` words have k = 0: one
 segment, the whole text, joined with the record's context (user and item).
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tastegrid.llm import kernel as K
 from tastegrid.plans.scratch import cut, ship_package
 
-SEGMENT = 6
+SEGMENT = 5
 #: Bits of the filter of evaluation segments that training tasks test first: fixed, 8 MB.
 FILTER_BITS = 1 << 26
 _CHUNK = 1 << 16
@@ -203,7 +202,7 @@ def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is
     n = len(context)
     source = records.select(F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(context)), F.col(id_col).cast("string").alias("rid"), is_eval.alias("is_eval"), is_train.alias("is_train")).where("text is not null and rid is not null")
     evals, trains = source.where("is_eval").drop("is_eval", "is_train"), source.where("is_train").drop("is_eval", "is_train")
-    segments = cut(evals.mapInArrow(_key_mapper(min_words, shingle, seed, SEGMENT, n), _ROW).distinct())
+    segments = cut(evals.mapInArrow(_key_mapper(min_words, shingle, seed, 1, n), _ROW).distinct())
     bits = spark.sparkContext.broadcast(_filter_bits(segments))
     runs = trains.mapInArrow(_key_mapper(min_words, shingle, seed, 1, n, bits), _ROW)
     e, t = (f.toDF("key", f"cls_{x}", *(f"{x}_{c}" for c in K.SKETCH)) for f, x in ((segments, "e"), (runs, "t")))

@@ -178,3 +178,16 @@ def test_texts_that_share_an_id_keep_their_links(spark, monkeypatch):
     assert found.links.count() == 12
     got = sorted(tuple(r) for r in near_dups.record_pairs(found).collect())
     assert got == sorted((x + f"{n:02}", y + f"{n:02}") for n in range(12) for x, y in ("ab", "ac", "bc"))
+
+
+def test_overlap_of_a_short_text_with_an_edit_in_every_sixth_word_is_found(spark):
+    from pyspark.sql import functions as F
+
+    w = [f"w{i}" for i in range(20)]
+    edited = [f"x{i}" if i in (1, 12, 13) else x for i, x in enumerate(w)]
+    moved = w[15:] + w[10:15] + w[5:10] + w[:5]
+    rows = [("e", " ".join(w), "test"), ("t1", " ".join(edited), "train"), ("t2", " ".join(moved), "train")]
+    df = spark.createDataFrame(rows, "rid string, t string, s string")
+    got = {r["train_id"]: r["similarity"] for r in cross_split.overlaps(df, "rid", "t", F.col("s") == "test", F.col("s") == "train").collect()}
+    a, b = _grams(w), _grams(edited)
+    assert got == {"t1": pytest.approx(len(a & b) / len(a | b)), "t2": 0.5}
