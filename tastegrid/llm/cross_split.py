@@ -1,12 +1,17 @@
 """Overlaps between evaluation and training splits by an edit-distance segment join on words.
 
-Every run of SEGMENT words of an evaluation text is matched against every run of SEGMENT words of the training
-texts, whatever its position, as block moves keep none. Texts of 20 words or more that share half of their
-runs of three words share a run of five: blocks of four words hold two common runs each, and between
-two blocks each text loses two more or an edit loses five in all (runs that repeat within a text aside). Matches are thinned by a signature of 128 two-bit minima, then verified by banded dynamic
-programming over words (edit distance), and by the exact share of common runs of three words, which
-decides pairs with block moves that no band holds. Texts below ``min_words`` words have k = 0: one
-segment, the whole text, joined with the record's context (user and item).
+An evaluation text of n words is cut into segments of SEGMENT words, once from its first word and once from its
+fourth (the last words form a segment too). Training texts offer every run of SEGMENT words. Let k = g // 9 for the g
+distinct runs of three words of the evaluation text. A pair within k word edits shares a segment at an allowed position
+(shifted by at most k, lengths within k); banded dynamic programming admits it, and no other check is needed: an
+edit changes at most three runs on either side, so at least half of all runs are common. Pairs whose
+differences are more than k edits, or whose segments stand at other positions (moved blocks, texts cut short or continued),
+are admitted by the exact share of common runs instead. No way to drop words and to cut and reorder blocks breaks all segments and
+leaves half of the runs common (runs that repeat within a text aside), so no such pair is missed by the cut.
+
+Each key carries a signature of 64 two-bit minima, which drops pairs far below the share before they leave the join
+(one pair in 4,000 exactly at the share is lost by it). A segment of more than ``hot`` evaluation texts is spread over several tasks.
+Texts below ``min_words`` words have k = 0: one segment, the whole text, joined with the record's context (user and item).
 
 Defined results: null texts and texts without words overlap nothing; a null context key excludes a
 short text; repeated record ids count once; other splits than the two named are ignored.
@@ -21,13 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.llm import kernel as K
-from tastegrid.plans.scratch import cut, ship_package
+from tastegrid.plans.scratch import cut, parallelism, ship_package
 
 SEGMENT = 5
-#: Bits of the filter of evaluation segments that training tasks test first: fixed, 8 MB.
-FILTER_BITS = 1 << 26
-_CHUNK = 1 << 16
-_ROW = "key long, cls long, s0 long, s1 long, s2 long, s3 long"
+#: Word positions, modulo SEGMENT, at which the two cuts of an evaluation text begin a segment.
+OFFSETS = (0, 3)
+#: Minima of the signature that travels with a key.
+MINIMA = 64
+#: Edits that the dynamic programming looks for at most; longer texts with more of them are decided by their share.
+MOST_EDITS = 64
+#: Tasks over which a segment of many evaluation texts is spread.
+SPREAD = 16
+#: Evaluation keys that one matching task holds.
+KEYS_PER_TASK = 2_000_000
+_HELD_KEYS = 500_000
+_PAIRS_AT_ONCE = 2_000_000
+_ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("n", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+_KEYS = "key long, at int, n int, cls long, s0 long, s1 long"
 
 
 def _context_hash(column: pa.Array) -> np.ndarray:
@@ -46,7 +61,7 @@ def _context_hash(column: pa.Array) -> np.ndarray:
 class _Texts:
     """Words, class hashes and long/short marks of one slice of (text, context...) rows."""
 
-    def __init__(self, batch: pa.RecordBatch, begin: int, texts: list[str | None], text: int, context: list[int], min_words: int) -> None:
+    def __init__(self, batch: pa.RecordBatch, begin: int, texts: list[str | None], context: list[int], min_words: int) -> None:
         words = K.ascii_words(texts)
         usable = words.count > 0
         short = usable & (words.count < min_words)
@@ -69,89 +84,171 @@ class _Texts:
         return keep
 
 
-def _keys(t: _Texts, seed: int, every: int, shingle: int, passes: Callable[[np.ndarray], np.ndarray] | None) -> pa.RecordBatch | None:
-    """Segment keys of the long texts at word positions divisible by ``every``, and whole-text keys of the short ones."""
+def begins_segment(position: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a word position begins a segment of an evaluation text whose last segment begins at ``last``."""
+    return np.isin(position % SEGMENT, OFFSETS) | (position == last)
+
+
+def _keys(t: _Texts, seed: int, shingle: int, evaluation: bool, passes: K.BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, entries) of the long texts' segments or runs and of the short texts as a whole."""
     keep = t.first_of_class()
     words, cls, short = K.select(t.words, keep), t.cls[keep], t.short[keep]
     value, doc, position = K.grams(words, SEGMENT)
-    fits = (position % every == 0) & ~short[doc]
-    value, doc = np.concatenate((value[fits], cls[short])), np.concatenate((doc[fits], np.flatnonzero(short)))
+    fits = ~short[doc]
+    if evaluation:
+        fits &= begins_segment(position, words.count[doc] - SEGMENT)
+    whole = np.flatnonzero(short)
+    value, doc, position = np.concatenate((value[fits], cls[whole])), np.concatenate((doc[fits], whole)), np.concatenate((position[fits], np.zeros(len(whole), np.int64)))
     if passes is not None and len(value):
-        hit = passes(value)
-        value, doc = value[hit], doc[hit]
-    if not len(value):
-        return None
-    used = np.unique(doc)
-    parts = [np.zeros(len(cls), np.int64) for _ in K.SKETCH]
-    long_used = used[~short[used]]
-    if len(long_used):
-        mark = np.zeros(len(cls), bool)
-        mark[long_used] = True
-        v, d, _ = K.grams(K.select(words, mark), shingle)
-        counts = np.bincount(d, minlength=len(long_used))
-        for whole, part in zip(parts, K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), K.SKETCH_MINIMA, seed))):
-            whole[long_used] = part
-    arrays = [value.view(np.int64), cls.view(np.int64)[doc], *(p[doc] for p in parts)]
-    return pa.record_batch([pa.array(a) for a in arrays], names=["key", "cls", *K.SKETCH])
-
-
-def _key_mapper(min_words: int, shingle: int, seed: int, every: int, context: int, bits=None) -> Callable:
+        hit = passes.mask(value)
+        value, doc, position = value[hit], doc[hit], position[hit]
+    entry = np.zeros(len(value), _ENTRY)
+    used = np.zeros(len(cls), bool)
+    used[doc] = True
+    used &= ~short
+    if used.any():
+        v, d, _ = K.grams(K.select(words, used), shingle)
+        counts = np.bincount(d, minlength=int(used.sum()))
+        number = np.cumsum(used) - 1
+        long = used[doc]
+        for name, plane in zip(("s0", "s1"), K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), MINIMA, seed))):
+            entry[name][long] = plane.view(np.uint64)[number[doc[long]]]
+    entry["key"] = value & np.uint64(0xFFFFFFFF)
+    entry["at"] = np.minimum(position, 65535)
+    entry["n"] = np.minimum(words.count[doc], 65535)
+    entry["cls"] = cls.view(np.int64)[doc]
+    return value, entry
+
+
+def _eval_mapper(min_words: int, shingle: int, seed: int, context: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = None
-        if bits is not None:
-            table = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            for begin, texts in K.slices(batch.column(0)):
+                t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
+                if len(t.rows):
+                    value, e = _keys(t, seed, shingle, True, None)
+                    columns = [pa.array(value.view(np.int64)), pa.array(e["at"].astype(np.int32)), pa.array(e["n"].astype(np.int32)), *(pa.array(e[c].copy().view(np.int64)) for c in ("cls", "s0", "s1"))]
+                    yield pa.record_batch(columns, names=["key", "at", "n", "cls", "s0", "s1"])
+
+    return run
+
 
-            def passes(key: np.ndarray) -> np.ndarray:
-                at = key % np.uint64(FILTER_BITS)
-                return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _packed(value: np.ndarray, entry: np.ndarray, part: np.ndarray, side: int) -> pa.RecordBatch:
+    """One row per partition with its entries in one piece."""
+    order = np.argsort(part, kind="stable")
+    part, entry = part[order], entry[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    begin, end = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
+    bodies = pa.array([entry[a:b].tobytes() for a, b in zip(begin, end)], pa.binary())
+    return pa.record_batch([pa.array(part[begin].astype(np.int32)), pa.array(np.full(len(begin), side, np.int32)), bodies], names=["part", "side", "body"])
 
+
+def _home(value: np.ndarray, parts: int) -> np.ndarray:
+    return ((value >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _eval_packer(parts: int, hot: K.BitFilter | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in K.slices(batch.column(0)):
-                t = _Texts(batch, begin, texts, 0, list(range(1, 1 + context)), min_words)
-                if len(t.rows) and (out := _keys(t, seed, every, shingle, passes)) is not None:
-                    yield out
+            value = batch.column(0).to_numpy().view(np.uint64)
+            if not len(value):
+                continue
+            entry = np.zeros(len(value), _ENTRY)
+            entry["key"] = value & np.uint64(0xFFFFFFFF)
+            for i, c in enumerate(("at", "n", "cls"), 1):
+                entry[c] = batch.column(i).to_numpy()
+            for i, c in enumerate(("s0", "s1"), 4):
+                entry[c] = batch.column(i).to_numpy().view(np.uint64)
+            part = _home(value, parts)
+            yield _packed(value, entry, part, 0)
+            if hot is not None and (often := hot.mask(value)).any():
+                for step in range(1, min(SPREAD, parts)):
+                    yield _packed(value[often], entry[often], (part[often] + step) % parts, 0)
 
     return run
 
 
-def _bit_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for batch in batches:
-        at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
-        np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    chunks = table.reshape(-1, _CHUNK)
-    used = np.flatnonzero(chunks.any(axis=1))
-    if len(used):
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
+def _train_mapper(min_words: int, shingle: int, seed: int, context: int, parts: int, known: K.BitFilter, hot: K.BitFilter | None) -> Callable:
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        value, entry = (np.concatenate(x) for x in zip(*held))
+        part = _home(value, parts)
+        if hot is not None:
+            often = hot.mask(value)
+            part[often] = (part[often] + (entry["cls"][often].view(np.uint64) % np.uint64(min(SPREAD, parts))).astype(np.int64)) % parts
+        return _packed(value, entry, part, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for begin, texts in K.slices(batch.column(0)):
+                t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
+                if not len(t.rows):
+                    continue
+                value, entry = _keys(t, seed, shingle, False, known)
+                if len(value):
+                    held.append((value, entry))
+                    size += len(value)
+                if size >= _HELD_KEYS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
-def _bit_merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    merged: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new = np.frombuffer(bits, np.uint8)
-            merged[chunk] = merged[chunk] | new if chunk in merged else new
-    if merged:
-        yield pa.record_batch([pa.array(list(merged), pa.int32()), pa.array([v.tobytes() for v in merged.values()], pa.binary())], names=["chunk", "bits"])
+def _matcher(min_words: int, limit: int) -> Callable:
+    """Class pairs (cls_e, cls_t, placed) of equal keys; ``placed`` tells whether the segment stands at an allowed position."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        index = None
+        for batch in batches:
+            for side, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                entry = np.frombuffer(body, _ENTRY)
+                if side == 0:
+                    held.append(entry)
+                    continue
+                if index is None:
+                    if not held:
+                        return
+                    index = np.concatenate(held)
+                    index = index[np.argsort(index["key"], kind="stable")]
+                    keys = index["key"].copy()
+                    held = []
+                lo, hi = np.searchsorted(keys, entry["key"], "left"), np.searchsorted(keys, entry["key"], "right")
+                some = np.flatnonzero(hi > lo)
+                entry, lo, upto = entry[some], lo[some], np.cumsum((hi - lo)[some])
+                total = int(upto[-1]) if len(upto) else 0
+                for begin in range(0, total, _PAIRS_AT_ONCE):
+                    flat = np.arange(begin, min(begin + _PAIRS_AT_ONCE, total))
+                    row = np.searchsorted(upto, flat, "right")
+                    t = entry[row]
+                    e = index[lo[row] + flat - np.where(row > 0, upto[row - 1], 0)]
+                    apart = np.bitwise_count((e["s0"] ^ t["s0"]) | (e["s1"] ^ t["s1"]))
+                    short = (e["n"] < min_words) | (t["n"] < min_words)
+                    keep = np.where(short, e["cls"] == t["cls"], apart <= limit)
+                    e, t = e[keep], t[keep]
+                    if not len(e):
+                        continue
+                    k = e["n"].astype(np.int64) // 9
+                    placed = (np.abs(e["at"].astype(np.int64) - t["at"]) <= k) & (np.abs(e["n"].astype(np.int64) - t["n"]) <= k)
+                    order = np.lexsort((~placed, t["cls"], e["cls"]))
+                    ce, ct, placed = e["cls"][order], t["cls"][order], placed[order]
+                    first = np.concatenate(([True], (ce[1:] != ce[:-1]) | (ct[1:] != ct[:-1])))
+                    yield pa.record_batch([pa.array(ce[first]), pa.array(ct[first]), pa.array(placed[first])], names=["cls_e", "cls_t", "placed"])
 
-def _filter_bits(keys: DataFrame) -> bytes:
-    """Bit table of all keys, OR-ed per chunk on the executors; at most FILTER_BITS/8 bytes reach the driver."""
-    merged = keys.select("key").mapInArrow(_bit_mapper, "chunk int, bits binary").repartition(16, "chunk").mapInArrow(_bit_merger, "chunk int, bits binary")
-    table = bytearray(FILTER_BITS // 8)
-    for row in merged.collect():
-        table[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = row.bits
-    return bytes(table)
+    return run
 
 
-def _member_mapper(min_words: int, context: int, rid: int, wanted: K.IdFilter) -> Callable:
+def _member_mapper(min_words: int, context: int, rid: int, wanted: K.BitFilter) -> Callable:
     schema = pa.schema([("cls", pa.int64()), ("rid", pa.string()), ("words", pa.binary()), ("context", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in K.slices(batch.column(0)):
-                t = _Texts(batch, begin, texts, 0, list(range(1, 1 + context)), min_words)
-                keep = wanted.mask(t.cls.view(np.int64)) if len(t.rows) else np.zeros(0, bool)
+                t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
+                keep = wanted.mask(t.cls) if len(t.rows) else np.zeros(0, bool)
                 if not keep.any():
                     continue
                 first = t.first_of_class()
@@ -168,55 +265,77 @@ def _member_mapper(min_words: int, context: int, rid: int, wanted: K.IdFilter) -
 def _verifier(similarity: float, min_words: int, shingle: int) -> Callable:
     numerator, denominator = round(similarity * 1000), 1000
     schema = pa.schema([("cls_e", pa.int64()), ("cls_t", pa.int64()), ("word_edits", pa.int32()), ("similarity", pa.float64())])
+    # e edits leave common >= g - shingle * e and either <= g + shingle * e of g distinct runs
+    per_edit = shingle * (1 + similarity) / (1 - similarity) if similarity < 1 else float("inf")
 
     def distinct(w: np.ndarray) -> np.ndarray:
         return np.unique(K.grams(K.Words(w, np.zeros(len(w), np.int64), 1), shingle)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            e, t, placed = (batch.column(i).to_pylist() for i in range(3))
+            a, b = ([np.frombuffer(w, np.uint64) for w in batch.column(i).to_pylist()] for i in (3, 4))
+            context_e, context_t = batch.column(5).to_pylist(), batch.column(6).to_pylist()
             out: list[tuple] = []
-            for e, t, we, wt, ce, ct in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                a, b = np.frombuffer(we, np.uint64), np.frombuffer(wt, np.uint64)
-                if len(a) < min_words or len(b) < min_words:
-                    if np.array_equal(a, b) and ce == ct:
-                        out.append((e, t, 0, 1.0))
+            long, runs, most = [], [], []
+            known: dict[int, np.ndarray] = {}
+            for i in range(len(e)):
+                if len(a[i]) < min_words or len(b[i]) < min_words:
+                    if np.array_equal(a[i], b[i]) and context_e[i] == context_t[i]:
+                        out.append((e[i], t[i], 0, 1.0))
+                    continue
+                if e[i] not in known:
+                    known[e[i]] = distinct(a[i])
+                long.append(i)
+                runs.append(known[e[i]])
+                most.append(min(int(len(runs[-1]) / per_edit), MOST_EDITS) if placed[i] else -1)
+            edits = K.word_edits([a[i] for i in long], [b[i] for i in long], np.array(most, np.int64)) if long else []
+            for i, ga, d in zip(long, runs, edits):
+                if d >= 0:
+                    out.append((e[i], t[i], int(d), None))
                     continue
-                ga, gb = distinct(a), distinct(b)
+                gb = distinct(b[i])
                 common = len(np.intersect1d(ga, gb, assume_unique=True))
                 either = len(ga) + len(gb) - common
                 if common * denominator >= numerator * either:
-                    out.append((e, t, K.word_edits(a, b, max(len(a), len(b)) // 6 + 1), common / either))
+                    out.append((e[i], t[i], None, common / either))
             yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is_train: Column, *, context: tuple[str, ...] = (), shingle: int = 3, similarity: float = 0.5, min_words: int = 20, seed: int = 11) -> DataFrame:
+def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is_train: Column, *, context: tuple[str, ...] = (), shingle: int = 3, similarity: float = 0.5, min_words: int = 20, seed: int = 11, hot: int = 256) -> DataFrame:
     """(eval_id, train_id, word_edits, similarity): one row per overlapping pair of an evaluation and a training record.
 
-    ``word_edits`` is the word edit distance where the band of a sixth of the longer text holds it, else null;
-    ``similarity`` the share of common distinct ``shingle``-word runs, 1 for equal short texts.
+    ``word_edits`` is the word edit distance where it admitted the pair, else null; ``similarity`` the share of
+    common distinct ``shingle``-word runs where it did, 1 for equal short texts, else null. The cut into segments
+    is made for runs of three words and a share of a half; higher shares keep its promise, lower ones need shorter segments.
     """
     spark = records.sparkSession
     ship_package(spark)
     n = len(context)
     source = records.select(F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(context)), F.col(id_col).cast("string").alias("rid"), is_eval.alias("is_eval"), is_train.alias("is_train")).where("text is not null and rid is not null")
     evals, trains = source.where("is_eval").drop("is_eval", "is_train"), source.where("is_train").drop("is_eval", "is_train")
-    segments = cut(evals.mapInArrow(_key_mapper(min_words, shingle, seed, 1, n), _ROW).distinct())
-    bits = spark.sparkContext.broadcast(_filter_bits(segments))
-    runs = trains.mapInArrow(_key_mapper(min_words, shingle, seed, 1, n, bits), _ROW)
-    e, t = (f.toDF("key", f"cls_{x}", *(f"{x}_{c}" for c in K.SKETCH)) for f, x in ((segments, "e"), (runs, "t")))
-    near = t.join(e, "key").where(K.sketch_distance("e", "t") <= K.sketch_limit(similarity)).select("cls_e", "cls_t").distinct()
-    near = cut(near)
-    e_ids, t_ids = near.select(F.col("cls_e").alias("cls")).distinct(), near.select(F.col("cls_t").alias("cls")).distinct()
+    segments = cut(evals.mapInArrow(_eval_mapper(min_words, shingle, seed, n), _KEYS).distinct())
+    known = K.bit_filter(segments, "key")
+    often = cut(segments.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > hot).select("key"))
+    spread = K.bit_filter(often, "key") if often.head(1) else None
+    parts = max(parallelism(spark), -(-segments.count() // KEYS_PER_TASK))
+    packs = "part int, side int, body binary"
+    both = segments.mapInArrow(_eval_packer(parts, spread), packs).unionByName(trains.mapInArrow(_train_mapper(min_words, shingle, seed, n, parts, known, spread), packs))
+    matched = both.repartitionById(parts, F.col("part")).sortWithinPartitions("side").mapInArrow(_matcher(min_words, K.sketch_limit(similarity, MINIMA)), "cls_e long, cls_t long, placed boolean")
+    near = cut(matched.groupBy("cls_e", "cls_t").agg(F.max("placed").alias("placed")))
     member = "cls long, rid string, words binary, context array<string>"
-    e_full = cut(evals.mapInArrow(_member_mapper(min_words, n, n + 1, K.id_filter(e_ids, "cls")), member).join(e_ids, "cls", "left_semi"))
-    t_full = cut(trains.mapInArrow(_member_mapper(min_words, n, n + 1, K.id_filter(t_ids, "cls")), member).join(t_ids, "cls", "left_semi"))
+
+    def members(rows: DataFrame, x: str) -> DataFrame:
+        ids = cut(near.select(F.col(f"cls_{x}").alias("cls")).distinct())
+        return cut(rows.mapInArrow(_member_mapper(min_words, n, n + 1, K.bit_filter(ids, "cls")), member).join(ids, "cls", "left_semi"))
 
     def texts(full: DataFrame, x: str) -> DataFrame:
         return full.where("words is not null").groupBy("cls").agg(F.first("words").alias("words"), F.first("context").alias("context")).toDF(f"cls_{x}", f"words_{x}", f"context_{x}")
 
-    paired = near.join(texts(e_full, "e"), "cls_e").join(texts(t_full, "t"), "cls_t").select("cls_e", "cls_t", "words_e", "words_t", "context_e", "context_t")
+    e_full, t_full = members(evals, "e"), members(trains, "t")
+    paired = near.join(texts(e_full, "e"), "cls_e").join(texts(t_full, "t"), "cls_t").select("cls_e", "cls_t", "placed", "words_e", "words_t", "context_e", "context_t")
     sure = cut(paired.mapInArrow(_verifier(similarity, min_words, shingle), "cls_e long, cls_t long, word_edits int, similarity double"))
     left = e_full.select(F.col("cls").alias("cls_e"), F.col("rid").alias("eval_id")).distinct()
     right = t_full.select(F.col("cls").alias("cls_t"), F.col("rid").alias("train_id")).distinct()

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from tastegrid.plans.scratch import parallelism
+
 SEED = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -157,13 +159,13 @@ SKETCH = ("s0", "s1", "s2", "s3")
 
 
 def sketches(minimum: np.ndarray) -> list[np.ndarray]:
-    """Two bits of each of 128 minima, as four signed 64-bit words per text."""
-    mixed = minimum[:SKETCH_MINIMA] * np.uint32(0x9E3779B1)
+    """Two bits of each minimum, as signed 64-bit words per text: all words of the first bits, then of the second."""
+    mixed = minimum * np.uint32(0x9E3779B1)
     out = []
     for shift in (31, 30):
         bits = ((mixed >> np.uint32(shift)) & np.uint32(1)).astype(np.uint8)
-        pair = np.packbits(bits, axis=0).T.copy().view(np.int64)
-        out += [pair[:, 0].copy(), pair[:, 1].copy()]
+        words = np.packbits(bits, axis=0).T.copy().view(np.int64)
+        out += [words[:, i].copy() for i in range(words.shape[1])]
     return out
 
 
@@ -174,13 +176,13 @@ def sketch_distance(left: str, right: str) -> Column:
     return F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
 
 
-def sketch_limit(similarity: float) -> int:
-    """Most differing minima of pairs at ``similarity``, 3.5 standard deviations out.
+def sketch_limit(similarity: float, n: int = SKETCH_MINIMA) -> int:
+    """Most differing minima of pairs at ``similarity``, 3.5 standard deviations out (one such pair in 4,000 is above).
 
     Two minima agree in both bits with probability s + (1 - s) / 4.
     """
     p = (1 - similarity) * 0.75
-    return int(SKETCH_MINIMA * p + 3.5 * (SKETCH_MINIMA * p * (1 - p)) ** 0.5) + 1
+    return int(n * p + 3.5 * (n * p * (1 - p)) ** 0.5) + 1
 
 
 def distinct_sorted(values: np.ndarray) -> bytes:
@@ -194,60 +196,115 @@ def shared_of(left: bytes, right: bytes) -> tuple[int, int]:
     return common, len(a) + len(b) - common
 
 
-def word_edits(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    """Edit distance of two word sequences by dynamic programming within ``band`` diagonals; None if above."""
-    n, m = len(a), len(b)
-    if abs(n - m) > band:
-        return None
-    far = band + 1
-    width = 2 * band + 1
-    row = np.full(width + 2, far, np.int64)
-    offsets = np.arange(-band, band + 1)
-    row[1:-1] = np.where(offsets >= 0, offsets, far)
-    ramp = np.arange(width)
-    for i in range(1, n + 1):
-        j = i + offsets
-        valid = (j >= 1) & (j <= m)
-        same = np.zeros(width, bool)
-        same[valid] = b[j[valid] - 1] == a[i - 1]
-        best = np.minimum(row[1:-1] + ~same, row[2:] + 1)
-        best[~valid] = far
-        if -band <= -i <= band:
-            best[band - i] = i
-        best = np.minimum.accumulate(best - ramp) + ramp
-        best[(j < 0) | (j > m)] = far
-        row[1:-1] = np.minimum(best, far)
-        if row[1:-1].min() >= far:
-            return None
-    d = int(row[1 + band + m - n])
-    return d if d <= band else None
-
-
-class IdFilter:
-    """Exact membership of 64-bit ids in a sorted array; None keeps everything."""
-
-    def __init__(self, ids: np.ndarray | None) -> None:
-        self.ids = ids
-
-    def mask(self, values: np.ndarray) -> np.ndarray:
-        if self.ids is None:
-            return np.ones(len(values), bool)
-        if not len(self.ids):
-            return np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(self.ids, values), len(self.ids) - 1)
-        return self.ids[at] == values
+def _padded(rows: list[np.ndarray], before: int, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.uint64)
+    for i, r in enumerate(rows):
+        out[i, before : before + len(r)] = r
+    return out
 
 
-#: Ids collected for an exact filter; 2M ids are 16 MB. Beyond that the plan joins instead.
-MAX_FILTER_IDS = 2_000_000
+def _band(left: list[np.ndarray], right: list[np.ndarray], band: int) -> np.ndarray:
+    """Edit distances within ``band`` diagonals, band + 1 above; one row of all pairs' tables is filled at a time."""
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    far, width = band + 1, 2 * band + 1
+    out = np.full(len(n), far)
+    offsets, ramp = np.arange(-band, band + 1), np.arange(width)
+    a, b = _padded(left, 0, int(n.max())), _padded(right, band, int(max(n.max(), m.max())) + width)
+    live = np.arange(len(n))
+    row = np.tile(np.where(offsets >= 0, offsets, far), (len(n), 1))
+    edge = np.full((len(n), 1), far)
+    for i in range(int(n.max()) + 1):
+        if i:
+            j = i + offsets
+            same = (b[live, i - 1 : i - 1 + width] == a[live, i - 1 : i]) & (j >= 1) & (j <= m[live, None])
+            best = np.minimum(row + ~same, np.hstack((row[:, 1:], edge[: len(live)])) + 1)
+            best[:, (j < 1)] = far
+            if i <= band:
+                best[:, band - i] = i
+            best = np.minimum.accumulate(best - ramp, axis=1) + ramp
+            best[(j < 0) | (j > m[live, None])] = far
+            row = np.minimum(best, far)
+        done = n[live] == i
+        if done.any():
+            out[live[done]] = row[done, band + (m - n)[live[done]]]
+        keep = ~done & (row.min(axis=1) <= band)
+        if not keep.all():
+            live, row = live[keep], row[keep]
+            if not len(live):
+                break
+    return out
 
 
-def id_filter(df, column: str) -> IdFilter:
-    """Filter of the distinct ids of a column if there are at most MAX_FILTER_IDS of them, else one that keeps all.
+def word_edits(left: list[np.ndarray], right: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair of word sequences by banded dynamic programming; -1 where it is above ``most``.
 
-    The caller joins afterwards in either case, so the result is the same.
+    Bands are widened in steps, so a pair costs its length times its distance; all pairs of a step are filled together.
     """
-    table = df.select(column).distinct().limit(MAX_FILTER_IDS + 1).toArrow()
-    if table.num_rows > MAX_FILTER_IDS:
-        return IdFilter(None)
-    return IdFilter(np.sort(table.column(0).to_numpy().astype(np.int64)))
+    gap = np.array([abs(len(a) - len(b)) for a, b in zip(left, right)])
+    out = np.full(len(left), -1)
+    todo, band = np.flatnonzero(gap <= most), 2
+    while len(todo):
+        order = todo[np.argsort([len(left[i]) for i in todo], kind="stable")]
+        begin = 0
+        while begin < len(order):
+            # table rows of a step hold at most 4 M words
+            end = begin + 1
+            while end < len(order) and end - begin < 4096 and (end - begin) * len(left[order[end]]) < 4_000_000:
+                end += 1
+            at = order[begin:end]
+            inside = at[gap[at] <= band]
+            if len(inside):
+                d = _band([left[i] for i in inside], [right[i] for i in inside], band)
+                ok = (d <= band) & (d <= most[inside])
+                out[inside[ok]] = d[ok]
+            begin = end
+        todo = todo[(out[todo] < 0) & (most[todo] > band)]
+        band *= 3
+    return out
+
+
+#: A filter has eight bits a key or more, within these sizes: 128 KB to 64 MB. Above 2**26 keys it lets more pass, never less.
+_LEAST_BITS, _MOST_BITS = 20, 29
+#: Bits of a chunk that one task fills and sends at once: 64 KB.
+_CHUNK = 19
+
+
+class BitFilter:
+    """Membership of 64-bit hashes in a bit table that every task holds; passes all members and few others."""
+
+    def __init__(self, table, bits: int) -> None:
+        self.table, self.bits = table, bits
+
+    def mask(self, values: np.ndarray) -> np.ndarray:
+        table = np.frombuffer(self.table.value, np.uint8)
+        at = values.view(np.uint64) & np.uint64(self.bits - 1)
+        return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _fill_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = np.unique(batch.column(0).to_numpy())
+        number = at >> _CHUNK
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for piece in np.split(at, cuts):
+            if len(piece):
+                table = chunks.setdefault(int(piece[0]) >> _CHUNK, np.zeros(1 << (_CHUNK - 3), np.uint8))
+                inside = piece & ((1 << _CHUNK) - 1)
+                byte, first = np.unique(inside >> 3, return_index=True)
+                table[byte] |= np.bitwise_or.reduceat(np.left_shift(1, inside & 7).astype(np.uint8), first)
+    if chunks:
+        yield pa.record_batch([pa.array(list(chunks), pa.int32()), pa.array([c.tobytes() for c in chunks.values()], pa.binary())], names=["chunk", "bits"])
+
+
+def bit_filter(df, column: str) -> BitFilter:
+    """Filter of the hashes in a column of a stored table; built by the executors, the driver gathers at most 64 MB of bits."""
+    spark = df.sparkSession
+    bits = 1 << min(_MOST_BITS, max(_LEAST_BITS, (8 * df.count()).bit_length()))
+    at = df.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    chunks = at.repartition(parallelism(spark), F.shiftright("at", _CHUNK)).mapInArrow(_fill_chunks, "chunk int, bits binary")
+    table = bytearray(bits // 8)
+    for row in chunks.collect():
+        begin = row.chunk << (_CHUNK - 3)
+        table[begin : begin + len(row.bits)] = row.bits
+    return BitFilter(spark.sparkContext.broadcast(bytes(table)), bits)

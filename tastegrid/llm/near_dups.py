@@ -169,7 +169,7 @@ def _sketch_mapper(text: int, k: int, min_words: int, seed: int) -> Callable:
     return run
 
 
-def _member_mapper(rid: int, text: int, k: int, min_words: int, wanted: K.IdFilter) -> Callable:
+def _member_mapper(rid: int, text: int, k: int, min_words: int, wanted: K.BitFilter) -> Callable:
     names = ["id", "cls", "rid", "grams"]
     schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("rid", pa.string()), ("grams", pa.binary())])
 
@@ -241,8 +241,8 @@ def find(records: DataFrame, id_col: str, text_col: str, *, shingle: int = 5, si
     left, right = (sketch.toDF(side, *(f"{side}_{c}" for c in K.SKETCH)) for side in "ab")
     near = candidates.where("a <> b").join(left, "a").join(right, "b").where(K.sketch_distance("a", "b") <= K.sketch_limit(similarity)).select("a", "b").distinct()
     near = cut(near.union(candidates.where("a = b").select("a", "b")))
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    chosen = source.mapInArrow(_member_mapper(0, 1, shingle, min_words, K.id_filter(wanted, "id")), "id long, cls long, rid string, grams binary")
+    wanted = cut(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
+    chosen = source.mapInArrow(_member_mapper(0, 1, shingle, min_words, K.bit_filter(wanted, "id")), "id long, cls long, rid string, grams binary")
     full = cut(chosen.join(wanted, "id", "left_semi"))
     sets = full.where(F.col("grams").isNotNull()).groupBy("cls").agg(F.first("id").alias("id"), F.first("grams").alias("grams"))
     a, b = sets.toDF("cls_a", "a", "grams_a"), sets.toDF("cls_b", "b", "grams_b")

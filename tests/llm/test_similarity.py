@@ -139,7 +139,7 @@ def test_components_of_paths_stars_and_cycles(spark):
 def test_word_edits_equals_plain_dynamic_programming():
     import numpy as np
 
-    rng = random.Random(5)
+    rng, cases = random.Random(5), []
     for _ in range(200):
         a = [rng.randrange(4) for _ in range(rng.randint(0, 12))]
         b = [rng.randrange(4) for _ in range(rng.randint(0, 12))]
@@ -148,9 +148,10 @@ def test_word_edits_equals_plain_dynamic_programming():
             previous, d[0] = d[0], i
             for j, y in enumerate(b, 1):
                 previous, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, previous + (x != y))
-        for band in (1, 3, 14):
-            got = K.word_edits(np.array(a, np.uint64), np.array(b, np.uint64), band)
-            assert got == (d[-1] if d[-1] <= band else None), (a, b, band, d[-1], got)
+        cases.append((a, b, d[-1]))
+    for most in (0, 1, 3, 14):
+        got = K.word_edits([np.array(a, np.uint64) for a, _, _ in cases], [np.array(b, np.uint64) for _, b, _ in cases], np.full(len(cases), most))
+        assert got.tolist() == [d if d <= most else -1 for _, _, d in cases]
 
 
 def test_bands_reach_the_promised_recall():
@@ -191,3 +192,42 @@ def test_overlap_of_a_short_text_with_an_edit_in_every_sixth_word_is_found(spark
     got = {r["train_id"]: r["similarity"] for r in cross_split.overlaps(df, "rid", "t", F.col("s") == "test", F.col("s") == "train").collect()}
     a, b = _grams(w), _grams(edited)
     assert got == {"t1": pytest.approx(len(a & b) / len(a | b)), "t2": 0.5}
+
+
+def _best_share_without_a_segment(n, segments):
+    """Largest share of common three-word runs over all ways to drop words and cut and reorder blocks that break every segment."""
+    after = [max([a + 1 for a, size in segments if a + size == e], default=0) for e in range(n + 1)]
+    states = {(None, 0): 0}  # (first word of the running block, words kept) -> common runs
+    for i in range(n):
+        following = {}
+        for (s, kept), runs in states.items():
+            moves = [((None, kept), runs)]
+            if i >= after[i + 1]:
+                moves.append(((i, kept + 1), runs))
+            if s is not None and s >= after[i + 1]:
+                moves.append(((s, kept + 1), runs + (i - s >= 2)))
+            for k, v in moves:
+                following[k] = max(v, following.get(k, -1))
+        states = following
+    return max(runs / (n - 2 + kept - 2 - runs) for (_, kept), runs in states.items() if kept > 2)
+
+
+def test_no_edits_break_every_segment_and_leave_half_of_the_runs():
+    import numpy as np
+
+    for n in (*range(20, 60), 73, 90):
+        at = np.arange(n - cross_split.SEGMENT + 1)
+        begins = at[cross_split.begins_segment(at, np.full(len(at), n - cross_split.SEGMENT))]
+        assert _best_share_without_a_segment(n, [(int(i), cross_split.SEGMENT) for i in begins]) < 0.5
+
+
+def test_segments_at_forbidden_positions_are_not_edits(spark):
+    from pyspark.sql import functions as F
+
+    w = [f"w{i}" for i in range(40)]
+    moved, edited = w[20:] + w[:20], w[:10] + ["x"] + w[10:]
+    rows = [("e", " ".join(w), "test"), ("moved", " ".join(moved), "train"), ("edited", " ".join(edited), "train"), ("cut", " ".join(w[:26]), "train")]
+    df = spark.createDataFrame(rows, "rid string, t string, s string")
+    for hot in (256, 0):
+        got = {r["train_id"]: (r["word_edits"], r["similarity"]) for r in cross_split.overlaps(df, "rid", "t", F.col("s") == "test", F.col("s") == "train", hot=hot).collect()}
+        assert got == {"moved": (None, pytest.approx(36 / 40)), "edited": (1, None), "cut": (None, pytest.approx(24 / 38))}
