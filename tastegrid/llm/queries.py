@@ -86,9 +86,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every train record's group (five-word runs, similarity 0.8) and number of links; alone without a near-duplicate or copy."""
+    """Group of every train record: texts of 20 words or more by links as in p6_found, shorter ones by equal words; alone without a partner."""
     train = _table(spark, sf_dir, "reviews").where("split_name = 'train'")
-    return near_dups.groups(near_dups.find(train, "review_id", "review"), train.select("review_id")).select(F.col("rid").alias("review_id"), "group_id", "n_links")
+    found = near_dups.find(train, "review_id", "review", shingle=3, similarity=0.5, whole_below=20, all_pairs=False)
+    return near_dups.groups(found, train.select("review_id")).select(F.col("rid").alias("review_id"), "group_id")
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train records of 20 words or more with a near-duplicate or copy, with the number of different texts linked to theirs."""
+    return near_dups.link_counts(_near(spark, sf_dir)).select(F.col("rid").alias("review_id"), "n_links")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +122,4 @@ def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cooccurrence, p2_found, p2_top10, p3_found, p3_report, p4_found, p4_terms, p5_found, p5_neighbours, p6_found, p6_groups, p8_found, p9_mixture, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cooccurrence, p2_found, p2_top10, p3_found, p3_report, p4_found, p4_terms, p5_found, p5_neighbours, p6_found, p6_groups, p6_links, p8_found, p9_mixture, p9_shares, p10_found, p10_canonical)}
