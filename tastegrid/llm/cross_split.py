@@ -1,13 +1,15 @@
 """Overlaps between evaluation and training splits by an edit-distance segment join on words.
 
-An evaluation text of n words is cut into segments of SEGMENT words, once from its first word and once from its
-fourth (the last words form a segment too). Training texts offer every run of SEGMENT words. Let k = g // 9 for the g
-distinct runs of three words of the evaluation text. A pair within k word edits shares a segment at an allowed position
-(shifted by at most k, lengths within k); banded dynamic programming admits it, and no other check is needed: an
-edit changes at most three runs on either side, so at least half of all runs are common. Pairs whose
-differences are more than k edits, or whose segments stand at other positions (moved blocks, texts cut short or continued),
-are admitted by the exact share of common runs instead. No way to drop words and to cut and reorder blocks breaks all segments and
-leaves half of the runs common (runs that repeat within a text aside), so no such pair is missed by the cut.
+The segments of an evaluation text of n words are its runs of SEGMENT words. Whatever words are dropped, changed or put in and however
+blocks are cut and moved, as long as half of the distinct runs of three words stay common, (n - 8) / 3 or more of the segments
+stay whole (runs that repeat within a text aside). So all but one less than that many are needed as keys, and those left out
+are the ones that most evaluation texts share: phrases of common templates make no candidates.
+
+Training texts offer every run of SEGMENT words. Let k = g // 9 for the g distinct runs of three words of the evaluation text. A pair
+within k word edits shares a segment at an allowed position (shifted by at most k, lengths within k); banded dynamic
+programming admits it, and no other check is needed: an edit changes at most three runs on either side, so at least
+half of all runs are common. Pairs whose differences are more than k edits, or whose segments stand at other positions (moved
+blocks, texts cut short or continued), are admitted by the exact share of common runs instead.
 
 Each key carries a signature of 64 two-bit minima, which drops pairs far below the share before they leave the join
 (one pair in 4,000 exactly at the share is lost by it). A segment of more than ``hot`` evaluation texts is spread over several tasks.
@@ -29,8 +31,10 @@ from tastegrid.llm import kernel as K
 from tastegrid.plans.scratch import cut, parallelism, ship_package
 
 SEGMENT = 5
-#: Word positions, modulo SEGMENT, at which the two cuts of an evaluation text begin a segment.
-OFFSETS = (0, 3)
+#: Slots of the table of how often segments occur on the evaluation side; slots that two segments share count as the more frequent.
+SLOTS = 1 << 22
+#: Occurrences from which a segment has an entry there.
+_OFTEN = 4
 #: Minima of the signature that travels with a key.
 MINIMA = 64
 #: Edits that the dynamic programming looks for at most; longer texts with more of them are decided by their share.
@@ -84,19 +88,23 @@ class _Texts:
         return keep
 
 
-def begins_segment(position: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Whether a word position begins a segment of an evaluation text whose last segment begins at ``last``."""
-    return np.isin(position % SEGMENT, OFFSETS) | (position == last)
+def left_out(n: np.ndarray) -> np.ndarray:
+    """How many segments of an evaluation text of n words may be left out as keys: one less than always stay whole."""
+    return np.maximum(-((8 - n) // 3) - 1, 0)
 
 
-def _keys(t: _Texts, seed: int, shingle: int, evaluation: bool, passes: K.BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit keys, entries) of the long texts' segments or runs and of the short texts as a whole."""
+def _keys(t: _Texts, seed: int, shingle: int, levels: np.ndarray | None, passes: K.BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, entries) of the long texts' segments and of the short texts as a whole; with ``levels`` without those that may be left out."""
     keep = t.first_of_class()
     words, cls, short = K.select(t.words, keep), t.cls[keep], t.short[keep]
     value, doc, position = K.grams(words, SEGMENT)
     fits = ~short[doc]
-    if evaluation:
-        fits &= begins_segment(position, words.count[doc] - SEGMENT)
+    if levels is not None and len(value):
+        level = levels[(value % np.uint64(SLOTS)).astype(np.int64)]
+        order = np.lexsort((value, -level.astype(np.int64), doc))
+        place = np.empty(len(value), np.int64)
+        place[order] = np.arange(len(value)) - np.searchsorted(doc, doc[order])
+        fits &= place >= left_out(words.count)[doc]
     whole = np.flatnonzero(short)
     value, doc, position = np.concatenate((value[fits], cls[whole])), np.concatenate((doc[fits], whole)), np.concatenate((position[fits], np.zeros(len(whole), np.int64)))
     if passes is not None and len(value):
@@ -120,13 +128,33 @@ def _keys(t: _Texts, seed: int, shingle: int, evaluation: bool, passes: K.BitFil
     return value, entry
 
 
-def _eval_mapper(min_words: int, shingle: int, seed: int, context: int) -> Callable:
+def _segment_mapper(min_words: int, context: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in K.slices(batch.column(0)):
+                t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
+                value, doc, _ = K.grams(K.select(t.words, t.first_of_class()), SEGMENT)
+                yield pa.record_batch([pa.array(value.view(np.int64))], names=["key"])
+
+    return run
+
+
+def _levels(segments: DataFrame) -> np.ndarray:
+    """Logarithm of the occurrences of frequent segments by slot; at most SLOTS entries reach the driver."""
+    often = segments.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > _OFTEN)
+    slots = often.groupBy(F.pmod("key", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.max(4 * F.log2("times")).cast("int").alias("level")).toArrow()
+    table = np.zeros(SLOTS, np.uint8)
+    table[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
+    return table
+
+
+def _eval_mapper(min_words: int, shingle: int, seed: int, context: int, levels) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in K.slices(batch.column(0)):
                 t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
                 if len(t.rows):
-                    value, e = _keys(t, seed, shingle, True, None)
+                    value, e = _keys(t, seed, shingle, levels.value, None)
                     columns = [pa.array(value.view(np.int64)), pa.array(e["at"].astype(np.int32)), pa.array(e["n"].astype(np.int32)), *(pa.array(e[c].copy().view(np.int64)) for c in ("cls", "s0", "s1"))]
                     yield pa.record_batch(columns, names=["key", "at", "n", "cls", "s0", "s1"])
 
@@ -184,7 +212,7 @@ def _train_mapper(min_words: int, shingle: int, seed: int, context: int, parts:
                 t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
                 if not len(t.rows):
                     continue
-                value, entry = _keys(t, seed, shingle, False, known)
+                value, entry = _keys(t, seed, shingle, None, known)
                 if len(value):
                     held.append((value, entry))
                     size += len(value)
@@ -309,14 +337,17 @@ def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is
 
     ``word_edits`` is the word edit distance where it admitted the pair, else null; ``similarity`` the share of
     common distinct ``shingle``-word runs where it did, 1 for equal short texts, else null. The cut into segments
-    is made for runs of three words and a share of a half; higher shares keep its promise, lower ones need shorter segments.
+    is made for runs of three words and a share of a half or more; others are refused.
     """
+    if shingle != 3 or similarity < 0.5:
+        raise ValueError("segments are made for runs of three words and a similarity of 0.5 or more")
     spark = records.sparkSession
     ship_package(spark)
     n = len(context)
     source = records.select(F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(context)), F.col(id_col).cast("string").alias("rid"), is_eval.alias("is_eval"), is_train.alias("is_train")).where("text is not null and rid is not null")
     evals, trains = source.where("is_eval").drop("is_eval", "is_train"), source.where("is_train").drop("is_eval", "is_train")
-    segments = cut(evals.mapInArrow(_eval_mapper(min_words, shingle, seed, n), _KEYS).distinct())
+    levels = spark.sparkContext.broadcast(_levels(evals.mapInArrow(_segment_mapper(min_words, n), "key long")))
+    segments = cut(evals.mapInArrow(_eval_mapper(min_words, shingle, seed, n, levels), _KEYS).distinct())
     known = K.bit_filter(segments, "key")
     often = cut(segments.groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") > hot).select("key"))
     spread = K.bit_filter(often, "key") if often.head(1) else None

@@ -195,31 +195,28 @@ def test_overlap_of_a_short_text_with_an_edit_in_every_sixth_word_is_found(spark
     assert got == {"t1": pytest.approx(len(a & b) / len(a | b)), "t2": 0.5}
 
 
-def _best_share_without_a_segment(n, segments):
-    """Largest share of common three-word runs over all ways to drop words and cut and reorder blocks that break every segment."""
-    after = [max([a + 1 for a, size in segments if a + size == e], default=0) for e in range(n + 1)]
-    states = {(None, 0): 0}  # (first word of the running block, words kept) -> common runs
-    for i in range(n):
+def _fewest_whole_segments(n, size):
+    """Fewest whole runs of ``size`` words over all ways to drop words and to cut and reorder blocks that leave half of the three-word runs common."""
+    states = {(0, 0, 0): 0}  # (words of the running block up to size, words kept, common runs) -> whole segments
+    for _ in range(n):
         following = {}
-        for (s, kept), runs in states.items():
-            moves = [((None, kept), runs)]
-            if i >= after[i + 1]:
-                moves.append(((i, kept + 1), runs))
-            if s is not None and s >= after[i + 1]:
-                moves.append(((s, kept + 1), runs + (i - s >= 2)))
+        for (block, kept, runs), whole in states.items():
+            grown = min(block + 1, size)
+            moves = [((0, kept, runs), whole), ((1, kept + 1, runs), whole)]
+            if block:
+                moves.append(((grown, kept + 1, runs + (grown >= 3)), whole + (block + 1 >= size)))
             for k, v in moves:
-                following[k] = max(v, following.get(k, -1))
+                following[k] = min(v, following.get(k, n))
         states = following
-    return max(runs / (n - 2 + kept - 2 - runs) for (_, kept), runs in states.items() if kept > 2)
+    return min(whole for (_, kept, runs), whole in states.items() if kept > 2 and 2 * runs >= n - 2 + kept - 2 - runs)
 
 
-def test_no_edits_break_every_segment_and_leave_half_of_the_runs():
+def test_more_segments_stay_whole_than_are_left_out():
     import numpy as np
 
-    for n in (*range(20, 60), 73, 90):
-        at = np.arange(n - cross_split.SEGMENT + 1)
-        begins = at[cross_split.begins_segment(at, np.full(len(at), n - cross_split.SEGMENT))]
-        assert _best_share_without_a_segment(n, [(int(i), cross_split.SEGMENT) for i in begins]) < 0.5
+    for n in (*range(20, 40), 47, 58):
+        assert cross_split.left_out(np.array([n]))[0] < _fewest_whole_segments(n, cross_split.SEGMENT)
+    assert cross_split.left_out(np.array([5, 19, 20, 58])).tolist() == [0, 3, 3, 16]
 
 
 def test_segments_at_forbidden_positions_are_not_edits(spark):
