@@ -2,16 +2,17 @@
 
 The segments of an evaluation text of n words are its runs of SEGMENT words. Whatever words are dropped, changed or put in and however
 blocks are cut and moved, as long as half of the distinct runs of three words stay common, (n - 8) / 3 or more of the segments
-stay whole (runs that repeat within a text aside). So all but one less than that many are needed as keys, and those left out
-are the ones that most evaluation texts share: phrases of common templates make no candidates.
+stay whole (runs that repeat within a text aside); the same holds for the runs of the training text. So one less than that many may be left
+out as keys on either side, the first ones in one common order of all segments; that order begins with those that most evaluation texts
+share, so phrases of common templates make hardly any candidates. (The last whole segment in that order is a key on both sides.)
 
-Training texts offer every run of SEGMENT words. Let k = g // 9 for the g distinct runs of three words of the evaluation text. A pair
+Training texts are matched at every position. Let k = g // 9 for the g distinct runs of three words of the evaluation text. A pair
 within k word edits shares a segment at an allowed position (shifted by at most k, lengths within k); banded dynamic
 programming admits it, and no other check is needed: an edit changes at most three runs on either side, so at least
 half of all runs are common. Pairs whose differences are more than k edits, or whose segments stand at other positions (moved
 blocks, texts cut short or continued), are admitted by the exact share of common runs instead.
 
-Each key carries a signature of 64 two-bit minima, which drops pairs far below the share before they leave the join
+Each key carries a signature of 128 two-bit minima, which drops pairs far below the share before they leave the join
 (one pair in 4,000 exactly at the share is lost by it). A segment of more than ``hot`` evaluation texts is spread over several tasks.
 Texts below ``min_words`` words have k = 0: one segment, the whole text, joined with the record's context (user and item).
 
@@ -35,8 +36,6 @@ SEGMENT = 5
 SLOTS = 1 << 22
 #: Occurrences from which a segment has an entry there.
 _OFTEN = 4
-#: Minima of the signature that travels with a key.
-MINIMA = 64
 #: Edits that the dynamic programming looks for at most; longer texts with more of them are decided by their share.
 MOST_EDITS = 64
 #: Tasks over which a segment of many evaluation texts is spread.
@@ -45,8 +44,8 @@ SPREAD = 16
 KEYS_PER_TASK = 2_000_000
 _HELD_KEYS = 500_000
 _PAIRS_AT_ONCE = 2_000_000
-_ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("n", "<u2"), ("cls", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
-_KEYS = "key long, at int, n int, cls long, s0 long, s1 long"
+_ENTRY = np.dtype([("key", "<u4"), ("at", "<u2"), ("n", "<u2"), ("cls", "<i8"), *((c, "<u8") for c in K.SKETCH)])
+_KEYS = "key long, at int, n int, cls long, s0 long, s1 long, s2 long, s3 long"
 
 
 def _context_hash(column: pa.Array) -> np.ndarray:
@@ -89,17 +88,17 @@ class _Texts:
 
 
 def left_out(n: np.ndarray) -> np.ndarray:
-    """How many segments of an evaluation text of n words may be left out as keys: one less than always stay whole."""
+    """How many segments of a text of n words may be left out as keys: one less than always stay whole."""
     return np.maximum(-((8 - n) // 3) - 1, 0)
 
 
-def _keys(t: _Texts, seed: int, shingle: int, levels: np.ndarray | None, passes: K.BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit keys, entries) of the long texts' segments and of the short texts as a whole; with ``levels`` without those that may be left out."""
+def _keys(t: _Texts, seed: int, shingle: int, levels: np.ndarray, passes: K.BitFilter | None) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys, entries) of the long texts' segments and of the short texts as a whole; without those that may be left out."""
     keep = t.first_of_class()
     words, cls, short = K.select(t.words, keep), t.cls[keep], t.short[keep]
     value, doc, position = K.grams(words, SEGMENT)
     fits = ~short[doc]
-    if levels is not None and len(value):
+    if len(value):
         level = levels[(value % np.uint64(SLOTS)).astype(np.int64)]
         order = np.lexsort((value, -level.astype(np.int64), doc))
         place = np.empty(len(value), np.int64)
@@ -119,7 +118,7 @@ def _keys(t: _Texts, seed: int, shingle: int, levels: np.ndarray | None, passes:
         counts = np.bincount(d, minlength=int(used.sum()))
         number = np.cumsum(used) - 1
         long = used[doc]
-        for name, plane in zip(("s0", "s1"), K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), MINIMA, seed))):
+        for name, plane in zip(K.SKETCH, K.sketches(K.minima(v, np.concatenate(([0], np.cumsum(counts)[:-1])), K.SKETCH_MINIMA, seed))):
             entry[name][long] = plane.view(np.uint64)[number[doc[long]]]
     entry["key"] = value & np.uint64(0xFFFFFFFF)
     entry["at"] = np.minimum(position, 65535)
@@ -155,8 +154,8 @@ def _eval_mapper(min_words: int, shingle: int, seed: int, context: int, levels)
                 t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
                 if len(t.rows):
                     value, e = _keys(t, seed, shingle, levels.value, None)
-                    columns = [pa.array(value.view(np.int64)), pa.array(e["at"].astype(np.int32)), pa.array(e["n"].astype(np.int32)), *(pa.array(e[c].copy().view(np.int64)) for c in ("cls", "s0", "s1"))]
-                    yield pa.record_batch(columns, names=["key", "at", "n", "cls", "s0", "s1"])
+                    columns = [pa.array(value.view(np.int64)), pa.array(e["at"].astype(np.int32)), pa.array(e["n"].astype(np.int32)), *(pa.array(e[c].copy().view(np.int64)) for c in ("cls", *K.SKETCH))]
+                    yield pa.record_batch(columns, names=["key", "at", "n", "cls", *K.SKETCH])
 
     return run
 
@@ -185,7 +184,7 @@ def _eval_packer(parts: int, hot: K.BitFilter | None) -> Callable:
             entry["key"] = value & np.uint64(0xFFFFFFFF)
             for i, c in enumerate(("at", "n", "cls"), 1):
                 entry[c] = batch.column(i).to_numpy()
-            for i, c in enumerate(("s0", "s1"), 4):
+            for i, c in enumerate(K.SKETCH, 4):
                 entry[c] = batch.column(i).to_numpy().view(np.uint64)
             part = _home(value, parts)
             yield _packed(value, entry, part, 0)
@@ -196,7 +195,7 @@ def _eval_packer(parts: int, hot: K.BitFilter | None) -> Callable:
     return run
 
 
-def _train_mapper(min_words: int, shingle: int, seed: int, context: int, parts: int, known: K.BitFilter, hot: K.BitFilter | None) -> Callable:
+def _train_mapper(min_words: int, shingle: int, seed: int, context: int, parts: int, levels, known: K.BitFilter, hot: K.BitFilter | None) -> Callable:
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, entry = (np.concatenate(x) for x in zip(*held))
         part = _home(value, parts)
@@ -212,7 +211,7 @@ def _train_mapper(min_words: int, shingle: int, seed: int, context: int, parts:
                 t = _Texts(batch, begin, texts, list(range(1, 1 + context)), min_words)
                 if not len(t.rows):
                     continue
-                value, entry = _keys(t, seed, shingle, None, known)
+                value, entry = _keys(t, seed, shingle, levels.value, known)
                 if len(value):
                     held.append((value, entry))
                     size += len(value)
@@ -253,7 +252,7 @@ def _matcher(min_words: int, limit: int) -> Callable:
                     row = np.searchsorted(upto, flat, "right")
                     t = entry[row]
                     e = index[lo[row] + flat - np.where(row > 0, upto[row - 1], 0)]
-                    apart = np.bitwise_count((e["s0"] ^ t["s0"]) | (e["s1"] ^ t["s1"]))
+                    apart = np.bitwise_count((e["s0"] ^ t["s0"]) | (e["s2"] ^ t["s2"])) + np.bitwise_count((e["s1"] ^ t["s1"]) | (e["s3"] ^ t["s3"]))
                     short = (e["n"] < min_words) | (t["n"] < min_words)
                     keep = np.where(short, e["cls"] == t["cls"], apart <= limit)
                     e, t = e[keep], t[keep]
@@ -353,8 +352,8 @@ def overlaps(records: DataFrame, id_col: str, text_col: str, is_eval: Column, is
     spread = K.bit_filter(often, "key") if often.head(1) else None
     parts = max(parallelism(spark), -(-segments.count() // KEYS_PER_TASK))
     packs = "part int, side int, body binary"
-    both = segments.mapInArrow(_eval_packer(parts, spread), packs).unionByName(trains.mapInArrow(_train_mapper(min_words, shingle, seed, n, parts, known, spread), packs))
-    matched = both.repartitionById(parts, F.col("part")).sortWithinPartitions("side").mapInArrow(_matcher(min_words, K.sketch_limit(similarity, MINIMA)), "cls_e long, cls_t long, placed boolean")
+    both = segments.mapInArrow(_eval_packer(parts, spread), packs).unionByName(trains.mapInArrow(_train_mapper(min_words, shingle, seed, n, parts, levels, known, spread), packs))
+    matched = both.repartitionById(parts, F.col("part")).sortWithinPartitions("side").mapInArrow(_matcher(min_words, K.sketch_limit(similarity)), "cls_e long, cls_t long, placed boolean")
     near = cut(matched.groupBy("cls_e", "cls_t").agg(F.max("placed").alias("placed")))
     member = "cls long, rid string, words binary, context array<string>"
 
