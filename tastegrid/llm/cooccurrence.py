@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tastegrid.operators import stats
 from tastegrid.plans.scratch import collect_if_small, cut, ship_package
 
 #: Largest basket that enters the sparse products; every larger one takes the dense way.
@@ -144,10 +145,11 @@ def cooccurrence(records: DataFrame, basket: Column, item: Column, *, min_count:
         counted = counted.where(F.col("n_narrow") >= max(1, min_count - n_wide))
         if n_wide >= min_count:
             blocks = cut(owned.where(F.size("wide") >= min_count).select("i", "wide").mapInArrow(_block(min_count), "block long, items array<long>, wide array<array<long>>"))
-            # one tile per unordered pair of blocks, reached by an equi-join; there are as many names as items / TILE
-            names = F.array(*(F.lit(r.block) for r in blocks.select("block").collect()))
-            x, y = blocks.toDF("x", "items_x", "wide_x"), blocks.toDF("y", "items_y", "wide_y")
-            tiles = x.withColumn("y", F.explode(F.filter(names, lambda b: b >= F.col("x")))).join(y, "y")
+            # blocks are numbered, one number per TILE items; one tile per unordered pair of blocks, reached by an equi-join
+            numbers = stats.ranked_globally(blocks.select("block"), [F.col("block")], "number").select("block", F.col("number").cast("int").alias("number"))
+            numbered = cut(blocks.join(numbers, "block").select("number", "items", "wide"))
+            x, y = numbered.toDF("x", "items_x", "wide_x"), numbered.toDF("y", "items_y", "wide_y")
+            tiles = x.withColumn("y", F.explode(F.sequence("x", F.lit(numbered.count())))).join(y, "y")
             dense = tiles.mapInArrow(_tile(min_count), "a long, b long").withColumn("n_narrow", F.lit(0).cast("long"))
             counted = counted.unionByName(dense).groupBy("a", "b").agg(F.sum("n_narrow").alias("n_narrow"))
     else:

@@ -1,8 +1,8 @@
 """How distinctive a term is of its record: divergence from randomness (geometric model, Laplace gain).
 
-Texts move once, to the partition of their item; there repeated deliveries are dropped and term counts are
-formed, so only (item, term) counts leave it. An item above the share of one partition is split over several by
-review and its partial counts are merged afterwards; all other items are complete where they are counted.
+Texts move once, to the partition of their item; there repeated deliveries are dropped and terms are counted, all by expressions
+inside the JVM that keep that partitioning, so only (item, term) counts leave it. An item with more text than PIECE_BYTES is split by review over
+several partitions, through a broadcast list of at most MAX_SPLIT items; the partial counts of all items are merged afterwards.
 
 With F occurrences of a term in the collection, N items, tf in the item, dl the item's length in terms and
 avgdl the mean length: tfn = tf * log2(1 + c * avgdl / dl), information = log2(1 + F/N) + tfn * log2(1 + N/F),
@@ -14,87 +14,34 @@ repeated record ids count once, null ids each for themselves; an empty table giv
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tastegrid.plans.scratch import cut, parallelism, ship_package
-
-_KEEP = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_-" else 32 for c in range(256))
-_COUNTS = "item string, whole boolean, term string, tf long, reviews long"
-
-
-def terms(text: str) -> list[bytes]:
-    """Matches of [a-z][a-z0-9_-]{2,} in the lower-cased text."""
-    runs = text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
-    return [t for r in runs if len(t := r.lstrip(b"0123456789_-")) > 2]
-
-
-def _counter() -> Callable:
-    schema = pa.schema([("item", pa.string()), ("whole", pa.bool_()), ("term", pa.string()), ("tf", pa.int64()), ("reviews", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], []]
-        current, whole, tf, reviews, last = None, True, Counter(), Counter(), None
-
-        def finish() -> None:
-            if current is not None and tf:
-                n = len(tf)
-                out[0].extend([current] * n)
-                out[1].extend([whole] * n)
-                out[2].extend(t.decode() for t in tf)
-                out[3].extend(tf.values())
-                out[4].extend(reviews[t] for t in tf)
-
-        def emit() -> pa.RecordBatch:
-            batch = pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-            for c in out:
-                c.clear()
-            return batch
-
-        for batch in batches:
-            for item, salt, rid, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if item != current:
-                    finish()
-                    if len(out[0]) > 50_000:
-                        yield emit()
-                    current, whole, tf, reviews, last = item, salt < 0, Counter(), Counter(), None
-                if rid is not None and rid == last:
-                    continue
-                last = rid
-                found = terms(text)
-                tf.update(found)
-                reviews.update(set(found))
-        finish()
-        if out[0]:
-            yield emit()
+from tastegrid.plans.scratch import cut, parallelism
 
-    return run
+TERM = "[a-z][a-z0-9_-]{2,}"
+#: Characters of text that one partition takes, and beyond which an item is split.
+PART_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
+#: Items that are split at most; with more text than MAX_SPLIT pieces hold, pieces are larger.
+MAX_SPLIT = 100_000
 
 
 def term_counts(records: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
     """(item, term, tf, reviews): occurrences of each term per item and the number of its records that hold it."""
     spark = records.sparkSession
-    ship_package(spark)
     rows = records.select(F.col(group_col).cast("string").alias("item"), F.col(id_col).cast("string").alias("rid"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    parts = parallelism(spark)
-    sizes = cut(rows.groupBy("item").agg(F.count("*").alias("n")))
+    sizes = cut(rows.groupBy("item").agg(F.sum(F.length("text") + 1).alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    # fewer than 2 * parts items can be above this share
-    hot = sizes.where(F.col("n") > max(total / (2 * parts), 1000)).collect()
-    pieces = {r["item"]: max(2, -(-r["n"] * 2 * parts // total)) for r in hot}
-    split = F.lit(-1)
-    for item, n in pieces.items():
-        split = F.when(F.col("item") == item, F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int")).otherwise(split)
-    placed = rows.withColumn("salt", split).repartition(parts, "item", "salt").sortWithinPartitions("item", "salt", "rid").select("item", "salt", "rid", "text")
-    counted = placed.mapInArrow(_counter(), _COUNTS)
-    if not pieces:
-        return counted.select("item", "term", "tf", "reviews")
-    counted = cut(counted)
-    merged = counted.where("not whole").groupBy("item", "term").agg(F.sum("tf").alias("tf"), F.sum("reviews").alias("reviews"))
-    return counted.where("whole").select("item", "term", "tf", "reviews").unionByName(merged)
+    piece = max(PIECE_BYTES, total // MAX_SPLIT)
+    parts = max(parallelism(spark), min(-(-total // PART_BYTES), MAX_SPLIT))
+    # fewer than total / piece <= MAX_SPLIT items
+    split = F.broadcast(sizes.where(F.col("n") > piece).select("item", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
+    own = F.coalesce("rid", F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string")))
+    keyed = rows.withColumn("rid", own).join(split, "item", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("int")).otherwise(0)).drop("pieces")
+    once = keyed.repartition(parts, "item", "piece").groupBy("item", "piece", "rid").agg(F.first("text").alias("text"))
+    terms = once.select("item", "piece", "rid", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
+    per_record = terms.groupBy("item", "piece", "term", "rid").agg(F.count("*").alias("tf"))
+    per_piece = per_record.groupBy("item", "piece", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("reviews"))
+    return per_piece.groupBy("item", "term").agg(F.sum("tf").alias("tf"), F.sum("reviews").alias("reviews"))
 
 
 def term_weights(records: DataFrame, id_col: str, group_col: str, text_col: str, *, min_reviews: int = 1, max_share: tuple[int, int] = (1, 1), c: float = 1.0) -> DataFrame:
@@ -116,6 +63,6 @@ def term_weights(records: DataFrame, id_col: str, group_col: str, text_col: str,
 
 
 def best_terms(weights: DataFrame, weight: str, n: int) -> DataFrame:
-    """The ``n`` terms of each item with the largest weight; ties go to the lesser term."""
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(weight), "term"))
+    """The ``n`` terms of each item with the largest weight (to nine places, so that sums in another order agree); ties go to the lesser term."""
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc(F.round(weight, 9)), "term"))
     return weights.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -175,13 +175,12 @@ class Rewriter:
             return text
         if self._trigger is None:
             self._trigger = re.compile(f"[{re.escape(self.triggers)}]")
-        for _ in range(8):
-            if not self._trigger.search(text):
+        seen = {text}
+        while self._trigger.search(text):
+            text = unicodedata.normalize("NFC", self._once(text))
+            if text in seen:
                 break
-            new = unicodedata.normalize("NFC", self._once(text))
-            if new == text:
-                break
-            text = new
+            seen.add(text)
         return text
 
 
@@ -246,6 +245,16 @@ def lookalike_classes(df: DataFrame, id_col: str, text_col: str, rewriter: Rewri
     return rows.join(several, "one", "left_semi").distinct()
 
 
+def lookalike_groups(df: DataFrame, id_col: str, text_col: str, rewriter: Rewriter | None = None) -> DataFrame:
+    """(id, class_id, n_forms): rows whose one form has several stored texts, the least id of their class and the number of those texts.
+
+    One row per record; nothing is paired, so classes of any size are handled.
+    """
+    rows = cut(lookalike_classes(df, id_col, text_col, rewriter))
+    named = rows.groupBy("one", "raw").agg(F.min("id").alias("id")).groupBy("one").agg(F.min("id").alias("class_id"), F.count("*").alias("n_forms"))
+    return rows.join(named, "one").select("id", "class_id", "n_forms").distinct()
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, rewriter: Rewriter | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows of the same one form whose stored texts differ.
 

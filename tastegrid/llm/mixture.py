@@ -6,7 +6,7 @@ dual is convex; Newton steps (kept inside a bracket by bisection) run over the d
 (source, tokens, records), one aggregate per step for all sources. Rates are rounded by systematic sampling: along
 the records of a source in order of their size (then hash), copies follow the running sum of rates, so every range of
 sizes gets its expected number of copies within one, and the drawn tokens follow closely. The running sum is taken per
-(source, size, hash bucket) and the sums of these are chained, so no task holds a source.
+(source, size, hash bucket) and the sums of these are chained, so a task holds at most one row for each size that texts of a source have.
 
 The total is given, or the largest at which every source that has tokens can reach its share under its cap.
 Sources without tokens cannot be mixed: their share is reported as 0 and the others are scaled to what they can hold.
@@ -92,7 +92,7 @@ def _solve(histogram: DataFrame, goals: dict[str, float], caps: dict[str, int],
     """lambda per source; every step aggregates the distributed histogram once for all unsolved sources."""
     lam = dict.fromkeys(goals, 0.0)
     low, high = dict.fromkeys(goals, -math.inf), dict.fromkeys(goals, math.inf)
-    open_ = set(goals)
+    open_, gaps = set(goals), {}
     for _ in range(60):
         if not open_:
             break
@@ -105,6 +105,7 @@ def _solve(histogram: DataFrame, goals: dict[str, float], caps: dict[str, int],
         rows = histogram.where(F.col("source").isin(list(open_))).withColumn("x", x).withColumn("m", m).groupBy("source").agg(F.sum(w * t).alias("f"), F.sum(F.when(F.col("x") < F.col("m"), w * t * t)).alias("d")).collect()
         for r in rows:
             s, gap = r["source"], r["f"] - goals[r["source"]]
+            gaps[s] = abs(gap) / goals[s]
             if abs(gap) <= 1e-9 * goals[s]:
                 open_.discard(s)
                 continue
@@ -118,6 +119,9 @@ def _solve(histogram: DataFrame, goals: dict[str, float], caps: dict[str, int],
             if step == lam[s] or abs(step) > 1e6:
                 open_.discard(s)
             lam[s] = step
+    missed = {s: g for s, g in gaps.items() if g > 1e-4}
+    if missed:
+        raise RuntimeError(f"no tilt found that meets the targets of {missed}")
     return lam
 
 
@@ -136,19 +140,22 @@ def mixture(documents: DataFrame, targets: DataFrame, *, id_col: str = "doc_id",
     total = min(total_tokens, most) if total_tokens is not None else most
     goals = {s: total * v[0] / share_sum for s, v in usable.items()}
     caps = {s: v[1] for s, v in usable.items()}
-    lam = _solve(histogram, goals, caps, {s: have[s][0] / have[s][1] for s in goals})
+    # at the cap itself the tilt is unbounded: every record takes its cap
+    full = {s for s in goals if goals[s] >= have[s][0] * caps[s] * (1 - 1e-9)}
+    lam = _solve(histogram, {s: g for s, g in goals.items() if s not in full}, caps, {s: have[s][0] / have[s][1] for s in goals})
     rate = F.lit(0.0)
     for s in goals:
-        # at the cap itself the tilt is unbounded: every record takes its cap
-        full = goals[s] >= have[s][0] * caps[s] * (1 - 1e-9)
-        tilt = F.lit(float(caps[s])) if full else F.least(F.lit(float(caps[s])), F.exp(F.lit(lam[s] * have[s][1] / have[s][0]) * F.col("tokens")))
+        tilt = F.lit(float(caps[s])) if s in full else F.least(F.lit(float(caps[s])), F.exp(F.lit(lam[s] * have[s][1] / have[s][0]) * F.col("tokens")))
         rate = F.when(F.col("source") == s, tilt).otherwise(rate)
     h = F.xxhash64(F.col("id").cast("string"))
     placed = counted.withColumn("rate", rate).withColumn("h", h).withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
     keys = ["source", "tokens", "bucket"]
     mass = placed.groupBy(*keys).agg(F.sum("rate").alias("mass"))
-    before = Window.partitionBy("source").orderBy("tokens", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = mass.withColumn("offset", F.coalesce(F.sum("mass").over(before), F.lit(0.0))).drop("mass")
+    # offsets are chained in two steps: over a source's sizes, then over the buckets of one size
+    before = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = mass.groupBy("source", "tokens").agg(F.sum("mass").alias("all")).withColumn("lower", F.coalesce(F.sum("all").over(before), F.lit(0.0))).select("source", "tokens", "lower")
+    inside = Window.partitionBy("source", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = mass.join(sizes, ["source", "tokens"]).withColumn("offset", F.col("lower") + F.coalesce(F.sum("mass").over(inside), F.lit(0.0))).drop("mass", "lower")
     within = Window.partitionBy(*keys).orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     run = placed.join(offset, keys).withColumn("upto", F.col("offset") + F.sum("rate").over(within))
     cap = F.lit(0)

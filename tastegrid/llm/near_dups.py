@@ -422,4 +422,6 @@ def link_counts(found: NearDuplicates) -> DataFrame:
     """(rid, n_links): other texts linked to the text of every record that has a near-duplicate or copy; ``found`` with all pairs."""
     ends = found.links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"))
     degree = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
-    return found.members.join(degree, "cls", "left").select("rid", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    copies = found.members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+    some = degree.join(copies, "cls", "full").select("cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.members.join(some, "cls").select("rid", "n_links")

@@ -117,9 +117,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.lookalike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that read like others stored differently: their class by its least id, and the stored forms of the class."""
+    return lookalike.lookalike_groups(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text in its one form."""
     return lookalike.canonical(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cooccurrence, p2_found, p2_top10, p3_found, p3_report, p4_found, p4_terms, p5_found, p5_neighbours, p6_found, p6_groups, p6_links, p8_found, p9_mixture, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cooccurrence, p2_found, p2_top10, p3_found, p3_report, p4_found, p4_terms, p5_found, p5_neighbours, p6_found, p6_groups, p6_links, p8_found, p9_mixture, p9_shares, p10_found, p10_classes, p10_canonical)}

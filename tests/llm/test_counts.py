@@ -57,6 +57,8 @@ def test_top_n_equals_brute_force(spark):
     for size in (50, 20_000):
         got = topn.top_n(df, "item_id", "neighbor_id", "score", 10, row_group_rows=size)
         assert {tuple(r) for r in got.collect()} == want
+    listed, read = topn.row_groups_read(df, "item_id", "neighbor_id", "score", 10, row_group_rows=50)
+    assert listed > 100 and read < listed - 80  # the row groups of the group "hot" below its tenth score stay unread
     assert topn.top_n(df.limit(0), "item_id", "neighbor_id", "score", 10).count() == 0
 
 
@@ -116,3 +118,19 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     near = vectors.most_similar(df, "id", "v", 5, dim=16, min_similarity=0.9).collect()
     assert {(r["id"], r["neighbor_id"]) for r in near} == {(f"u{i:03}", f"u{j:03}") for i, j in zip(*np.nonzero(s >= 0.9))}
     assert vectors.most_similar(df.limit(0), "id", "v", 5, dim=16).count() == 0
+
+
+def test_packs_of_far_clusters_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PACK_ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.eye(16)[:8], 64, axis=0) + rng.normal(size=(512, 16)) * 0.05
+    rows = [(f"u{i:03}", v.tolist()) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = vectors.most_similar(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 3, dim=16).collect()
+    assert len(got) == 3 * 512
+    for r in got:
+        assert s[int(r["id"][1:]), int(r["neighbor_id"][1:])] >= np.sort(s[int(r["id"][1:])])[-3] - 1e-9
+    packs = [vectors.Pack("", i, 64, c := u[64 * i : 64 * i + 64].mean(axis=0) / np.linalg.norm(u[64 * i : 64 * i + 64].mean(axis=0)), float(np.arccos((u[64 * i : 64 * i + 64] @ c).min()))) for i in range(8)]
+    assert all(vectors.reachable(packs, i, 0.9) == [] for i in range(8)) and all(len(vectors.reachable(packs, i, -1)) == 7 for i in range(8))
