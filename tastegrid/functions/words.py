@@ -46,6 +46,7 @@ SOURCES = {
     "lexical_item_neighbor": ("lexical_review_term", 0.81),
     "aspect_profile": ("aspect_evidence", 0.80),
     "bm25_profile": ("lexical_review_term", 0.78),
+    "sparse_category_tail": ("popularity_fallback", 0.77),
     "global_popular": ("popularity_fallback", 0.76),
     "vector_profile": ("semantic_vector", 0.74),
     "user_neighbor": ("collaborative_co_engagement", 0.72),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions import text as T
 from tastegrid.functions.words import ASPECT_STOPWORDS, ASPECTS
-from tastegrid.operators import stats
+from tastegrid.operators import gram, stats
 from tastegrid.plans.scratch import cut
 
 #: Latest items of a user that enter co-visitation; bounds the pairs per user.
@@ -33,15 +33,17 @@ def latest_positive(train: DataFrame, threshold: float = 4.0, weighted: bool = F
 def covisitation(train: DataFrame, k: int = 20, threshold: float = 4.0, weighted: bool = False, per_user: int = MAX_ITEMS_PER_USER) -> DataFrame:
     """(item_id, neighbor_id, score, rank): co-liked items, sum of sqrt(w_l*w_r) over sqrt(W_l*W_r).
 
-    A user's items are gathered once (at most ``per_user``), so the pairs need no second shuffle of the log.
+    A user's items (at most ``per_user``) are multiplied as numbers, each unordered pair once.
     """
     liked = latest_positive(train, threshold, weighted)
     totals = liked.groupBy("item_id").agg(F.sum("weight").alias("total"))
     capped = top(liked, ["user_id"], [F.desc("ts"), F.desc("item_id")], per_user)
-    lists = capped.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "weight")).alias("xs")).where(F.size("xs") > 1)
-    pairs = lists.select(F.explode("xs").alias("l"), "xs").select("l", F.explode("xs").alias("r")).where("l.item_id <> r.item_id")
-    co = pairs.groupBy(F.col("l.item_id").alias("item_id"), F.col("r.item_id").alias("neighbor_id")).agg(F.sum(F.sqrt(F.col("l.weight") * F.col("r.weight"))).alias("co"))
-    scored = co.join(totals, "item_id").join(totals.toDF("neighbor_id", "other"), "neighbor_id").select("item_id", "neighbor_id", F.round(F.col("co") / F.sqrt(F.col("total") * F.col("other")), 4).alias("score"))
+    number = cut(stats.ranked_globally(totals, [F.col("item_id")], "i").select("item_id", "i", "total"))
+    cells = capped.join(number.select("item_id", "i"), "item_id").select("user_id", "i", F.sqrt("weight").alias("w"))
+    co = gram.pair_sums(cells, "user_id", "i", "w")
+    x, y = number.toDF("item_id", "a", "total"), number.toDF("neighbor_id", "b", "other")
+    one = co.join(x, "a").join(y, "b").select("item_id", "neighbor_id", F.round(F.col("dot") / F.sqrt(F.col("total") * F.col("other")), 4).alias("score"))
+    scored = one.unionByName(one.select(F.col("neighbor_id").alias("item_id"), F.col("item_id").alias("neighbor_id"), "score"))
     return top(scored, ["item_id"], [F.desc("score"), "neighbor_id"], k)
 
 
@@ -165,14 +167,7 @@ def cosine_neighbors(train: DataFrame, items: DataFrame, k: int = 120, min_posit
     cells = train.join(number, "item_id").groupBy("user_id", "i").agg(F.sum(F.greatest("rating", F.lit(0.1))).alias("v"))
     cells = cut(cells)
     norm = cells.groupBy("i").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    block = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("i")) - 1) / per_user)
-    lists = cut(cells.withColumn("block", block).groupBy("user_id", "block").agg(F.collect_list(F.struct("i", "v")).alias("xs")))
-    within = lists.select(F.col("xs").alias("ls"), F.col("xs").alias("rs"))
-    large = lists.join(lists.where("block > 0").select("user_id").distinct(), "user_id", "left_semi")
-    across = large.toDF("user_id", "lb", "ls").join(large.toDF("user_id", "rb", "rs"), "user_id").where("lb < rb").select("ls", "rs")
-    pairs = within.unionByName(across).select(F.explode("ls").alias("l"), "rs").select("l", F.explode("rs").alias("r"))
-    # blocks hold ascending numbers: across blocks l < r always, within one block each pair is kept once
-    dots = pairs.where("l.i < r.i").groupBy(F.col("l.i").alias("a"), F.col("r.i").alias("b")).agg(F.sum(F.col("l.v") * F.col("r.v")).alias("dot"))
+    dots = gram.pair_sums(cells, "user_id", "i", "v", per_user)
     scored = dots.join(norm.toDF("a", "na"), "a").join(norm.toDF("b", "nb"), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score"))
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "score"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "score"))).alias("e")).select("e.*")
     sources = train.where("rating >= 4").groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_positive).join(number, "item_id").select(F.col("i").alias("src"))

@@ -36,11 +36,12 @@ def items(table: DataFrame) -> DataFrame:
 def temporal_split(rows: DataFrame, min_history: int = 1) -> DataFrame:
     """``rows`` with ``is_test``: the last interaction of each user with more than ``min_history`` of them.
 
-    Both windows share one exchange on the user; the count runs over the same partition.
+    The last row and the number of rows of a user are map-side combined and joined back, so a user with a large share of all
+    rows is never gathered in one task.
     """
-    last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("review_id"))
-    whole = Window.partitionBy("user_id")
-    return rows.withColumn("back", F.row_number().over(last)).withColumn("n_user", F.count("*").over(whole)).withColumn("is_test", (F.col("back") == 1) & (F.col("n_user") > min_history)).drop("back", "n_user")
+    users = rows.groupBy("user_id").agg(F.count("*").alias("n_user"), F.max(F.struct("ts", "review_id")).alias("last"))
+    marked = rows.join(users, "user_id").withColumn("is_test", (F.col("n_user") > min_history) & (F.struct("ts", "review_id") == F.col("last")))
+    return marked.select(*rows.columns, "is_test")
 
 
 def train_of(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.functions import text as T
-from tastegrid.functions.words import FAMILY_CONFIDENCE, SOURCES
+from tastegrid.functions.words import ASPECT_STOPWORDS, FAMILY_CONFIDENCE, SOURCES
 from tastegrid.operators import indexes, stats
 from tastegrid.operators.indexes import top
 
@@ -139,12 +139,123 @@ def popularity_order() -> list[Column]:
     return [F.desc("popularity"), F.desc(F.coalesce("average_rating", F.lit(0.0))), F.desc("item_id")]
 
 
+def category_weights(history: DataFrame) -> DataFrame:
+    """(user_id, category, cw, r): weight of each preferred category by its place r and by affinity."""
+    affinity = history.groupBy("user_id", "category").agg(((F.avg("rating") - 3) / 2).alias("affinity"))
+    weight = F.greatest(F.greatest(1 - 0.08 * (F.col("r") - 1), F.lit(0.65)), F.least(0.65 + F.coalesce("affinity", F.lit(0.0)), F.lit(1.0)))
+    return preferred_categories(history).withColumnRenamed("rank", "r").join(affinity, ["user_id", "category"], "left").select("user_id", "category", weight.alias("cw"), "r")
+
+
+def quality() -> Column:
+    """Share of the best rating; 3.5 stars where there is none."""
+    return F.coalesce(F.nullif("average_rating", F.lit(0.0)), F.lit(3.5)) / 5
+
+
+def quality_popularity() -> Column:
+    return F.round(F.least(F.when(F.col("popularity") > 0, 0.70 * quality() + 0.30).otherwise(quality()), F.lit(1.0)), 4)
+
+
+def aspect_profile(history: DataFrame, liked: DataFrame, items: DataFrame, per_token: int = 300, budget: int = 16, sparse_budget: int = 26) -> DataFrame:
+    """Items of weighted categories that hold a user's liked terms: 0.50 postings (1/sqrt of the place by popularity), 0.24 share of the terms,
+    0.16 quality, 0.10 log popularity; ``liked(user_id, term)``."""
+    words = items.withColumn("terms", F.array_distinct(T.terms(indexes.item_text())))
+    posted = top(words.select("category", F.explode("terms").alias("term"), "item_id", "popularity", "average_rating"), ["category", "term"], popularity_order(), per_token, "place").select("category", "term", "item_id", "place")
+    useful = liked.where(~F.col("term").isin(ASPECT_STOPWORDS)).select("user_id", "term").distinct()
+    hits = useful.join(category_weights(history), "user_id").join(posted, ["category", "term"]).groupBy("user_id", "item_id").agg(F.round(F.sum(F.col("cw") / F.sqrt(F.col("place").cast("double"))), 9).alias("raw"))
+    terms = useful.groupBy("user_id").agg(F.collect_list("term").alias("useful"))
+    full = hits.join(words.select("item_id", "terms", "popularity", "average_rating"), "item_id").join(terms, "user_id")
+    share = F.size(F.array_intersect("useful", "terms")) / F.size("useful")
+    value = 0.50 * F.least(F.col("raw") / F.max("raw").over(Window.partitionBy("user_id")), F.lit(1.0)) + 0.24 * share + 0.16 * quality() + 0.10 * indexes.popularity_score(F.col("popularity"), 500)
+    scored = full.withColumn("score", F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 4)).select("user_id", "item_id", "score", "popularity", "average_rating")
+    return _budgeted(unseen(scored, history), history, [F.desc("score"), *popularity_order()], budget, sparse_budget)
+
+
+def _budgeted(rows: DataFrame, history: DataFrame, order: list[Column], budget: int, sparse_budget: int) -> DataFrame:
+    """First ``budget`` rows per user, ``sparse_budget`` at two history rows or fewer; (user_id, item_id, score, rank)."""
+    sizes = history.groupBy("user_id").agg(F.when(F.count("*") <= 2, sparse_budget).otherwise(budget).alias("budget"))
+    return top(rows, ["user_id"], order, max(budget, sparse_budget)).join(sizes, "user_id").where("rank <= budget").select("user_id", "item_id", "score", "rank")
+
+
+def sparse_tail(history: DataFrame, items: DataFrame, window: int = 2000, picks: int = 12, budget: int = 8) -> DataFrame:
+    """For users of at most two history rows: evenly spaced items among the first ``window`` of each weighted category."""
+    ranked = top(items, ["category"], popularity_order(), window, "place")
+    sizes = ranked.groupBy("category").agg(F.greatest(F.lit(1), F.floor(F.count("*") / picks)).alias("stride"))
+    at = F.col("place") - 1
+    chosen = ranked.join(sizes, "category").where((at % F.col("stride") == 0) & (at / F.col("stride") < picks)).withColumn("pick", at / F.col("stride"))
+    few = history.groupBy("user_id").agg(F.count("*").alias("n")).where("n <= 2").select("user_id")
+    rows = category_weights(history).join(few, "user_id", "left_semi").join(chosen, "category")
+    value = 0.60 * F.col("cw") + 0.25 * quality() + 0.15 * (1 - F.col("pick") / picks)
+    scored = rows.withColumn("score", F.round(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 4))
+    return top(unseen(scored.select("user_id", "item_id", "score", "popularity", "average_rating"), history), ["user_id"], [F.desc("score"), *popularity_order()], budget).select("user_id", "item_id", "score", "rank")
+
+
+def category_fill(history: DataFrame, items: DataFrame, taken: DataFrame, target: int = 60, per_category: int = 200) -> DataFrame:
+    """Popular items of preferred categories in their order, as many as bring a user's ``taken(user_id, n)`` candidates to ``target``."""
+    ranked = top(items, ["category"], popularity_order(), per_category, "place").select("category", "item_id", "place", quality_popularity().alias("score"))
+    rows = unseen(preferred_categories(history).select("user_id", "category", F.col("rank").alias("r")).join(ranked, "category"), history)
+    placed = top(rows, ["user_id"], [F.col("r"), F.col("place")], target)
+    return placed.join(taken, "user_id", "left").where(F.col("rank") <= target - F.coalesce("n", F.lit(0))).select("user_id", "item_id", "score", "rank")
+
+
+def with_fill(sources: dict[str, DataFrame], history: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
+    """``sources`` and the category fill for users whose other sources, the global list aside, leave room."""
+    rows = None
+    for name, frame in sources.items():
+        if name != "global_popular":
+            part = frame.select("user_id", "item_id")
+            rows = part if rows is None else rows.unionByName(part)
+    return sources | {"category_popular": category_fill(history, items, rows.distinct().groupBy("user_id").agg(F.count("*").alias("n")))}
+
+
+# Sources that only explore, and those of the floors of sparse and of all profiles.
+EXPLORATION = ("aspect_profile", "sparse_category_tail")
+SPARSE_FLOOR = ("category_affinity_popular", "category_popular", "sparse_category_tail")
+LEXICAL_FLOOR = ("review_term_profile", "lexical_item_neighbor", "bm25_profile")
+
+
+def mix(merged: DataFrame, items: DataFrame, history: DataFrame, limit: int = 100) -> DataFrame:
+    """The ``limit`` candidates of each user in stages: floors of single and grouped sources, protected candidates up to a limit that leaves
+    room for exploration, exploring candidates, the rest. Within a stage by priority, popularity, rating and id."""
+    sparse = F.coalesce("n_history", F.lit(0)) <= 2
+    sizes = history.groupBy("user_id").agg(F.count("*").alias("n_history"))
+    rows = merged.join(items.select("item_id", "popularity", "average_rating"), "item_id").join(sizes, "user_id", "left")
+    by_priority = [F.desc("priority"), F.desc("popularity"), F.desc(F.coalesce("average_rating", F.lit(0.0))), "item_id"]
+    source = F.map_keys("scores")
+
+    def among(condition: Column, order: list) -> Column:
+        return F.when(condition, F.row_number().over(Window.partitionBy("user_id", condition).orderBy(*order)))
+
+    def of(*names: str) -> Column:
+        return F.arrays_overlap(source, F.array(*map(F.lit, names)))
+
+    def floor(name: str) -> Column:
+        return among(of(name), [F.desc(F.element_at("scores", name)), *popularity_order()])
+
+    share = (lambda part: max(1, int(limit * part))) if limit >= 100 else (lambda part: 0)
+    popular = F.when(sparse, max(30, int(limit * 0.10))).otherwise(max(20, int(limit * 0.06))) if limit >= 100 else F.lit(max(1, int(limit * 0.10)))
+    # stage of each floor for sparse and for other profiles, its candidates' places, its size
+    floors = [
+        (1, 4, among(of("global_popular"), popularity_order()), popular),
+        (2, None, among(of(*SPARSE_FLOOR), by_priority), F.lit(share(0.12))),
+        (3, 3, among(of(*LEXICAL_FLOOR), by_priority), F.when(sparse, share(0.12)).otherwise(share(0.07))),
+        (4, 2, floor("implicit_item_item"), F.lit(share(0.08))),
+        (5, 1, floor("user_neighbor"), F.lit(share(0.05))),
+    ]
+    stages = [F.when((place <= size) & (F.lit(True) if other is not None else sparse), F.struct(F.when(sparse, first).otherwise(other).cast("int").alias("stage"), place.alias("place"))) for first, other, place, size in floors]
+    rows = rows.withColumn("floor", F.array_min(F.array_compact(F.array(*stages))))
+    exploring = max(10, int(limit * 0.08)) if limit >= 50 else max(1, int(limit * 0.10))
+    free = F.col("floor").isNull()
+    protected = F.size(F.array_except(source, F.array(*map(F.lit, EXPLORATION)))) > 0
+    in_floors = F.count("floor").over(Window.partitionBy("user_id"))
+    rows = rows.withColumns({"in_floors": in_floors, "free": among(free & protected, by_priority), "other": among(free & ~protected, by_priority)})
+    late = F.when(F.col("in_floors") + F.col("free") <= limit - exploring, F.struct(F.lit(6).alias("stage"), F.col("free").alias("place"))).when(F.col("other").isNotNull(), F.struct(F.lit(7).alias("stage"), F.col("other").alias("place"))).otherwise(F.struct(F.lit(8).alias("stage"), F.col("free").alias("place")))
+    return top(rows.withColumn("at", F.coalesce("floor", late)), ["user_id"], [F.col("at.stage"), F.col("at.place")], limit).select(*merged.columns, F.col("at.stage").alias("stage"), "rank")
+
+
 def category_popular(history: DataFrame, items: DataFrame, per_category: int = 400, limit: int = 30) -> DataFrame:
     """Popular items of preferred categories: 0.50 category weight + 0.35 log popularity (of the most popular of them) + 0.15 quality."""
     ranked = top(items.withColumn("q", F.coalesce(F.nullif("average_rating", F.lit(0.0)), F.lit(3.5)) / 5), ["category"], popularity_order(), per_category)
-    affinity = history.groupBy("user_id", "category").agg(((F.avg("rating") - 3) / 2).alias("affinity"))
-    weight = F.greatest(F.greatest(1 - 0.08 * (F.col("r") - 1), F.lit(0.65)), F.least(0.65 + F.coalesce("affinity", F.lit(0.0)), F.lit(1.0)))
-    wanted = preferred_categories(history).withColumnRenamed("rank", "r").join(affinity, ["user_id", "category"], "left").select("user_id", "category", weight.alias("cw"))
+    wanted = category_weights(history).drop("r")
     peaks = ranked.groupBy("category").agg(F.max("popularity").alias("peak"))
     most = wanted.join(peaks, "category").groupBy("user_id").agg(F.max("peak").alias("most"))
     rows = wanted.join(most, "user_id").join(ranked.select("category", "item_id", "popularity", "q"), "category")
@@ -159,9 +270,7 @@ def global_popular(history: DataFrame, items: DataFrame, limit: int = 35) -> Dat
     With the ranks s_1 < s_2 < ... of a user's seen items, the limit-th unseen item has rank limit + #(s_i - i < limit), so
     each user is joined with that many leading ranks only, never with the catalogue.
     """
-    q = F.coalesce(F.nullif("average_rating", F.lit(0.0)), F.lit(3.5)) / 5
-    quality = F.least(F.when(F.col("popularity") > 0, 0.70 * q + 0.30).otherwise(q), F.lit(1.0))
-    ranked = stats.ranked_globally(items.select("item_id", "popularity", "average_rating", F.round(quality, 4).alias("q")), popularity_order(), "place")
+    ranked = stats.ranked_globally(items.select("item_id", "popularity", "average_rating", quality_popularity().alias("q")), popularity_order(), "place")
     seen = history.select("user_id", "item_id").distinct().join(ranked.select("item_id", "place"), "item_id")
     ahead = F.col("place") - F.row_number().over(Window.partitionBy("user_id").orderBy("place")) < limit
     skipped = seen.withColumn("ahead", ahead).groupBy("user_id").agg(F.sum(F.col("ahead").cast("long")).alias("n"))

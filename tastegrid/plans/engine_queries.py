@@ -356,8 +356,10 @@ def _liked_words(history: DataFrame) -> DataFrame:
 
 def _sources(spark, sf_dir):
     """History, catalogue and every built source by its name; the graph's candidates stand under their strongest kind of edge."""
-    t, history = _history(spark, sf_dir)
-    t, history, catalogue = cut(t), cut(history), cut(items(spark, sf_dir))
+    split = cut(I.temporal_split(inter(spark, sf_dir)))
+    t, users = split.where("not is_test").drop("is_test"), split.where("is_test").select("user_id")
+    history, catalogue = cut(t.join(users, "user_id", "left_semi")), cut(items(spark, sf_dir))
+    liked = cut(_liked_words(history))
     terms = cut(indexes.review_term_index(t, catalogue))
     posted = cut(indexes.postings(terms))
     preferred = cut(retrieval.preferred_categories(history))
@@ -369,24 +371,45 @@ def _sources(spark, sf_dir):
         "review_term_profile": retrieval.review_terms(history, terms, posted, preferred, catalogue),
         "lexical_item_neighbor": retrieval.lexical_neighbors(history, terms, posted),
         **retrieval.graph_sources(cut(graph), history),
-        "bm25_profile": retrieval.bm25(_liked_words(history), indexes.bm25_index(catalogue), history=history),
+        "bm25_profile": retrieval.bm25(liked, indexes.bm25_index(catalogue), history=history),
+        "aspect_profile": retrieval.aspect_profile(history, liked, catalogue),
+        "sparse_category_tail": retrieval.sparse_tail(history, catalogue),
         "category_affinity_popular": retrieval.category_popular(history, catalogue),
         "global_popular": retrieval.global_popular(history, catalogue),
     }
 
 
+@query
+def r18_aspect_profile(spark, sf_dir):
+    """Items of preferred categories that hold a user's liked terms."""
+    _, history = _history(spark, sf_dir)
+    return retrieval.aspect_profile(history, _liked_words(history), items(spark, sf_dir))
+
+
+@query
+def r22_sparse_tail(spark, sf_dir):
+    """Evenly spaced items of preferred categories for users with little history."""
+    _, history = _history(spark, sf_dir)
+    return retrieval.sparse_tail(history, items(spark, sf_dir))
+
+
+def _mixed(sources, history, catalogue):
+    """Pool of the sources with the category fill (R25) after the mixer's stages."""
+    return retrieval.mix(retrieval.merge(retrieval.with_fill(sources, history, catalogue)), catalogue, history)
+
+
 @query
 def u02_candidate_pool(spark, sf_dir):
-    """Merged pool of all built sources, 100 candidates per user by selection priority."""
-    _, catalogue, sources = _sources(spark, sf_dir)
-    return retrieval.pool(retrieval.merge(sources), catalogue).select("user_id", "item_id", "n_sources", "priority", "rank")
+    """U02, F16, R25, the mixer with floors, protected and exploring candidates (T11, U03-U05): 100 candidates per user from all built sources."""
+    history, catalogue, sources = _sources(spark, sf_dir)
+    return _mixed(sources, history, catalogue).select("user_id", "item_id", "n_sources", "priority", "stage", "rank")
 
 
 @query
 def a28_ranking_metrics(spark, sf_dir):
     """Hit rate and NDCG of the pool per slice."""
     history, catalogue, sources = _sources(spark, sf_dir)
-    ranked = evaluation.target_ranks(test(spark, sf_dir).select("user_id", "item_id", "category"), retrieval.pool(retrieval.merge(sources), catalogue))
+    ranked = evaluation.target_ranks(test(spark, sf_dir).select("user_id", "item_id", "category"), _mixed(sources, history, catalogue))
     return evaluation.ranking_metrics(evaluation.with_slices(ranked, history), (10, 50, 100), "slice")
 
 
@@ -404,7 +427,7 @@ def _aspect_map(rows: DataFrame, key: str) -> DataFrame:
 def g06_ranked_top10(spark, sf_dir):
     """The ten best pool candidates of every test user by the hybrid score."""
     history, catalogue, sources = _sources(spark, sf_dir)
-    pool = retrieval.pool(retrieval.merge(sources), catalogue)
+    pool = _mixed(sources, history, catalogue)
     affinity = profiles.category_affinity(history).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "affinity"))).alias("category_affinity"))
     said = history.where("rating >= 4").select("user_id", F.explode(T.terms(T.join_parts(F.col("name"), F.col("category"), F.col("review")))).alias("term"))
     users = profiles.user_profiles(history).select("user_id", "confidence", "preferred_terms", "disliked_terms", "preferred_categories").join(affinity, "user_id", "left").join(_aspect_map(indexes.user_aspects(history), "user_id"), "user_id", "left").join(_vectors(said, "user_id"), "user_id", "left")
@@ -418,14 +441,15 @@ def a33_miss_causes(spark, sf_dir):
     """Causes why test targets are missing from the pool, counted per cause and history bucket."""
     history, catalogue, sources = _sources(spark, sf_dir)
     t = train(spark, sf_dir)
-    ranked = evaluation.target_ranks(test(spark, sf_dir).select("user_id", "item_id", "category"), retrieval.pool(retrieval.merge(sources), catalogue))
+    ranked = evaluation.target_ranks(test(spark, sf_dir).select("user_id", "item_id", "category"), _mixed(sources, history, catalogue))
     return evaluation.miss_causes(ranked, history, t, indexes.covisitation(t)).groupBy("cause", "bucket").agg(F.count("*").alias("n"))
 
 
 @query
 def a32_source_diagnostics(spark, sf_dir):
     """A31 and the sources of A32, without families and misses: candidates, hits and recall per source; null for sources that did not run."""
-    _, _, sources = _sources(spark, sf_dir)
+    history, catalogue, sources = _sources(spark, sf_dir)
+    sources = retrieval.with_fill(sources, history, catalogue)
     long = evaluation.union_by_name([f.withColumn("source", F.lit(n)) for n, f in sources.items()])
     return evaluation.source_diagnostics(long, test(spark, sf_dir), sources)
 
@@ -579,13 +603,14 @@ ABLATIONS = {
 @query
 def e05_source_ablation(spark, sf_dir):
     """Hit rates of the pool under each mask of sources; ``not_run`` names those of the mask that are not built and so change nothing."""
-    _, catalogue, sources = _sources(spark, sf_dir)
+    history, catalogue, sources = _sources(spark, sf_dir)
     lean = {n: cut(f) for n, f in sources.items() if n not in ABLATION_BASE}
     targets = test(spark, sf_dir).select("user_id", "item_id")
     reports = []
     for mask, names in ABLATIONS.items():
         kept = {n: f for n, f in lean.items() if n not in names}
-        ranked = evaluation.target_ranks(targets, retrieval.pool(retrieval.merge(kept), catalogue)).withColumn("left_out", F.lit(mask))
-        absent = ",".join(n for n in names if n not in sources)
+        filled = kept if "category_popular" in names else retrieval.with_fill(kept, history, catalogue)
+        ranked = evaluation.target_ranks(targets, retrieval.mix(retrieval.merge(filled), catalogue, history)).withColumn("left_out", F.lit(mask))
+        absent = ",".join(n for n in names if n not in sources and n != "category_popular")
         reports.append(evaluation.ranking_metrics(ranked, (10, 100), "left_out").withColumn("not_run", F.lit(absent)))
     return evaluation.union_by_name(reports)

@@ -10,7 +10,7 @@ from tastegrid.plans import engine_queries as Q
 from tests.test_operators import rows_of
 from tests.test_queries import SF
 
-BUILT = {"co_visitation", "user_neighbor", "implicit_item_item", "review_term_profile", "lexical_item_neighbor", *retrieval.GRAPH_SOURCES, "bm25_profile", "category_affinity_popular", "global_popular"}
+BUILT = {"co_visitation", "user_neighbor", "implicit_item_item", "review_term_profile", "lexical_item_neighbor", *retrieval.GRAPH_SOURCES, "bm25_profile", "category_affinity_popular", "global_popular", "aspect_profile", "sparse_category_tail"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")

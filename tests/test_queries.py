@@ -31,7 +31,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n in core))
+# further reports over the pool of u02_candidate_pool: a minute each even on the smallest tables
+OVER_THE_POOL = {"a28_ranking_metrics", "a32_source_diagnostics", "a33_miss_causes", "e05_source_ablation"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n in core and n not in OVER_THE_POOL))
 def test_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
