@@ -31,7 +31,7 @@ from tastegrid.llm import kernel as K
 from tastegrid.plans.scratch import cut, parallelism, ship_package
 
 #: Band keys that one reducing task sorts at once.
-KEYS_PER_TASK = 2_000_000
+KEYS_PER_TASK = 1_200_000
 #: Band keys a mapping task holds before it hands them on.
 _HELD_KEYS = 2_000_000
 #: Classes of a bucket whose pairs are listed at once; larger buckets go through tiles.
