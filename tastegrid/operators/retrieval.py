@@ -275,7 +275,10 @@ def global_popular(history: DataFrame, items: DataFrame, limit: int = 35) -> Dat
     ahead = F.col("place") - F.row_number().over(Window.partitionBy("user_id").orderBy("place")) < limit
     skipped = seen.withColumn("ahead", ahead).groupBy("user_id").agg(F.sum(F.col("ahead").cast("long")).alias("n"))
     users = history.select("user_id").distinct().join(skipped, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), limit + F.coalesce("n", F.lit(0)))).alias("place"))
-    rows = unseen(users.join(ranked, "place"), history)
+    ahead_most = limit + (skipped.agg(F.max("n")).first()[0] or 0)
+    leading = ranked.where(F.col("place") <= ahead_most)
+    # a few dozen rows where no user has seen most popular items; no broadcast beyond a hundred thousand
+    rows = unseen(users.join(F.broadcast(leading) if ahead_most <= 100_000 else leading, "place"), history)
     kept = top(rows, ["user_id"], [F.col("place")], limit)
     return kept.select("user_id", "item_id", F.round(F.greatest(1 - (F.col("rank") - 1) / limit, "q"), 4).alias("score"), "rank")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tastegrid.functions.words import ASPECT_STOPWORDS, FAMILY_CONFIDENCE, SOURCES
-from tastegrid.plans.engine_sql import _BM25, _COVIS, _ERRORS, _FEATURES, _PREFERRED, _R08, _UNSEEN, BASE, SQL as ENGINE, _list, _normalised, _top_terms
+from tastegrid.plans.engine_sql import _BM25, _COVIS, _ERRORS, _FEATURES, _PREFERRED, _R08, _ITEM_ASPECTS, _UNSEEN, BASE, SQL as ENGINE, _list, _top_terms, _ua
 
 _POP = "popularity DESC, coalesce(average_rating, 0) DESC, item_id DESC"
 _Q = "coalesce(nullif(average_rating, 0), 3.5) / 5"
@@ -114,12 +114,77 @@ def ablation(masks: dict[str, tuple[str, ...]], base: tuple[str, ...]) -> str:
     return f"{pool({m: (*names, *base) for m, names in masks.items()})}, {_TARGETS} SELECT mask AS left_out, {_hits((10, 100))}, CASE mask {absent} END AS not_run FROM tg GROUP BY mask"
 
 
+_VALUE = "sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END * (1 + ln(n)))"
+
+
+def hashed(rows: str, key: str, name: str) -> str:
+    """CTE ``name`` (key, slot, v): unit vectors of the hashed terms of ``rows`` (key, term)."""
+    return f""",
+    {name}1 AS (SELECT {key}, term, count(*) AS n, sha256(term) AS h FROM ({rows}) GROUP BY 1, 2),
+    {name}2 AS (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS slot, {_VALUE} AS v FROM {name}1 GROUP BY 1, 2),
+    {name} AS (SELECT {key}, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY {key})), 6) AS v FROM {name}2 QUALIFY sum(v * v) OVER (PARTITION BY {key}) > 0)"""
+
+
+def _best(*sources: str) -> str:
+    return "greatest(" + ", ".join(f"coalesce(max(score) FILTER (source = '{n}'), 0)" for n in sources) + ")"
+
+
+_FAMILIES: dict[str, list[str]] = {}
+for _name, (_family, _) in SOURCES.items():
+    _FAMILIES.setdefault(_family, []).append(_name)
+_FIRST = "list_filter(x, lambda v, i: list_position(x, v) = i)"
+
+RANKED = f"""{_ALL}{_top_terms("hist")},
+    lt AS (SELECT user_id, coalesce(list(term ORDER BY rank) FILTER (mood = 'liked'), []) AS lk, coalesce(list(term ORDER BY rank) FILTER (mood = 'disliked'), []) AS dk FROM tt GROUP BY 1),
+    it AS (SELECT item_id, category, popularity, round(coalesce(least(greatest((average_rating - 1) / 4, 0.0), 1.0), 0.65), 6) AS qs, ({_FIRST})[1:32] AS its FROM (SELECT *, regexp_extract_all(lower(vtxt), '{_TOKEN}') AS x FROM catalogue)),
+    cn AS (SELECT user_id, round(least(0.10 + least(count(*) / 8, 0.75) + CASE WHEN count(DISTINCT round_even(rating, 0)) > 1 THEN 0.10 ELSE 0 END, 0.95), 3) AS confidence FROM hist GROUP BY 1),
+    af AS (SELECT user_id, category, round((avg(rating) - 3) / 2, 3) AS a FROM hist GROUP BY 1, 2)
+    {hashed(f"SELECT user_id, unnest(regexp_extract_all(lower(concat_ws(' ', name, category, review)), '{_TOKEN}')) AS term FROM hist WHERE rating >= 4", "user_id", "hu")}
+    {hashed(f"SELECT item_id, unnest(regexp_extract_all(lower(vtxt), '{_TOKEN}')) AS term FROM catalogue", "item_id", "hv")}
+    {_ITEM_ASPECTS}{_ua("hist")},
+    sf AS (SELECT user_id, item_id, {_best("sequential_transition", "category_transition")} AS sq, {_best("aspect_evidence_graph", "category_aspect_graph")} AS eg, {_best("co_visitation", "implicit_item_item", "user_neighbor")} AS cb,
+                  greatest({", ".join(f"least({_best(*names)}, 1.0) * {FAMILY_CONFIDENCE[f]}" for f, names in _FAMILIES.items())}) AS rm FROM s1 GROUP BY 1, 2),
+    dt AS (SELECT p.user_id, p.item_id, sum(hu.v * hv.v) AS d FROM pool p JOIN hu ON hu.user_id = p.user_id JOIN hv ON hv.item_id = p.item_id AND hv.slot = hu.slot GROUP BY 1, 2),
+    am AS (SELECT p.user_id, p.item_id, round(least(sum(least(ua.score, greatest(coalesce(ia.score, 0), 0))) / sum(ua.score), 1.0), 4) AS m FROM pool p JOIN ua ON ua.user_id = p.user_id AND ua.score > 0
+           LEFT JOIN ia ON ia.item_id = p.item_id AND ia.aspect = ua.aspect GROUP BY 1, 2),
+    ft AS (SELECT p.user_id, p.item_id, coalesce(confidence, 0.1) AS confidence, qs, sq, greatest(eg, sq) AS eg, greatest(cb, sq) AS cb, rm, greatest(coalesce(d, 0), 0) AS vm, coalesce(m, 0) AS am,
+                  CASE WHEN it.popularity > 0 THEN ln(1 + it.popularity) / ln(1 + max(it.popularity) OVER (PARTITION BY p.user_id)) ELSE 0 END AS pp,
+                  CASE WHEN pref.user_id IS NOT NULL THEN 1.0 ELSE greatest(coalesce(a, 0), 0) END AS cm,
+                  coalesce(CASE WHEN len(lk) > 0 AND len(its) > 0 THEN len(list_filter(lk, lambda x: list_contains(its, x))) / len(lk) END, 0) AS pm,
+                  coalesce(CASE WHEN len(dk) > 0 AND len(its) > 0 THEN len(list_filter(dk, lambda x: list_contains(its, x))) / len(dk) END, 0) AS dm
+           FROM pool p JOIN it USING (item_id) LEFT JOIN lt ON lt.user_id = p.user_id LEFT JOIN cn ON cn.user_id = p.user_id LEFT JOIN af ON af.user_id = p.user_id AND af.category = it.category
+           LEFT JOIN pref ON pref.user_id = p.user_id AND pref.category = it.category LEFT JOIN sf ON sf.user_id = p.user_id AND sf.item_id = p.item_id
+           LEFT JOIN dt ON dt.user_id = p.user_id AND dt.item_id = p.item_id LEFT JOIN am ON am.user_id = p.user_id AND am.item_id = p.item_id),
+    rw AS (SELECT *, least(greatest((confidence - 0.45) / 0.80, 0.02), 0.65)::DOUBLE AS g FROM ft),
+    fs AS (SELECT user_id, item_id, round((1 - g) * (0.85 * pp + 0.10 * qs + 0.05 * 0.65) + g * (0.24 * pm + 0.18 * cm + 0.18 * vm + 0.14 * qs + 0.18 * pp + 0.06 * 0.65 + 0.04 * confidence + 0.16 * am + 0.12 * sq + 0.12 * eg + 0.22 * cb + 0.04 * rm - 0.30 * dm), 9) AS raw FROM rw)
+    SELECT user_id, item_id, round(raw, 4) AS raw_score, round(greatest(least(raw, 1.0), 0.0), 2) AS score, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, item_id) AS rank FROM fs QUALIFY rank <= 10"""
+
+_BLENDED = ("head_user", "head_item", "head_calibrated", "head_bias_prior", "head_adaptive")
+_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+BLEND = f"""{BASE}{_FEATURES.replace("heads AS (SELECT rating, user_n,", "heads AS (SELECT review_id, rating, user_n,")},
+    wd AS (SELECT review_id, any_value(rating) AS y, {", ".join(f"any_value(p) FILTER (head = '{h}') AS h{i}" for i, h in enumerate(_BLENDED))} FROM heads GROUP BY 1),
+    mo AS (SELECT avg(y * y) AS c, {", ".join(f"avg(h{i} * h{j}) AS g{i}{j}" for i, j in _PAIRS)}, {", ".join(f"avg(h{i} * y) AS b{i}" for i in range(5))} FROM wd),
+    gr AS (SELECT a.v AS w0, b.v AS w1, c.v AS w2, d.v AS w3, 20 - a.v - b.v - c.v - d.v AS w4 FROM range(21) a(v), range(21) b(v), range(21) c(v), range(21) d(v) WHERE a.v + b.v + c.v + d.v <= 20),
+    er AS (SELECT gr.*, c + ({" + ".join(f"{1 if i == j else 2} * w{i} * w{j} * g{i}{j}" for i, j in _PAIRS)}) / 400.0 - ({" + ".join(f"2 * w{i} * b{i}" for i in range(5))}) / 20.0 AS e FROM gr, mo),
+    be AS (SELECT * FROM er WHERE e <= (SELECT min(e) FROM er) + 1e-10 ORDER BY w0, w1, w2, w3 LIMIT 1),
+    al AS (SELECT head, rating, p FROM heads UNION ALL SELECT 'head_blend', y, (w0 * h0 + w1 * h1 + w2 * h2 + w3 * h3 + w4 * h4) / 20.0 FROM wd, be)
+    SELECT head, {_ERRORS} FROM al GROUP BY 1"""
+
+LIMITED = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    f AS (SELECT key, i, [t] AS hits, true AS ok FROM e WHERE i = 1
+          UNION ALL SELECT key, i, CASE WHEN len(recent) < 5 THEN list_append(recent, t) ELSE recent END, len(recent) < 5 FROM
+              (SELECT e.key, e.i, e.t, list_filter(f.hits, lambda h: h > e.t - 86400) AS recent FROM f JOIN e ON e.key = f.key AND e.i = f.i + 1))
+    SELECT key, count(*) AS n, count(*) FILTER (ok) AS n_allowed FROM f GROUP BY 1"""
+
 _BUCKET = "CASE WHEN n <= 2 THEN 'sparse' WHEN n <= 7 THEN 'medium' ELSE 'warm' END"
 
 SQL = {
     "r18_aspect_profile": R18,
     "r22_sparse_tail": R22,
     "u02_candidate_pool": f"{_ALL} SELECT user_id, item_id, n_sources, priority, stage, rank FROM pool",
+    "g06_ranked_top10": RANKED,
+    "m10_blend": BLEND,
+    "z03_rate_limit": LIMITED,
     "a28_ranking_metrics": f"""{_ALL}, {_TARGETS},
         us AS (SELECT user_id, count(*) AS n, list(DISTINCT category) FILTER (rating >= 4) AS liked FROM hist GROUP BY 1),
         sl AS (SELECT tg.*, unnest(list_filter(['all', {_BUCKET.replace("n <=", "coalesce(n, 0) <=")}, CASE WHEN len(liked) > 0 AND NOT list_contains(liked, category) THEN 'cross_domain' END], lambda x: x IS NOT NULL)) AS slice FROM tg LEFT JOIN us USING (user_id))

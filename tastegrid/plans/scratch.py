@@ -28,7 +28,7 @@ atexit.register(_cleanup)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set only where none is configured."""
+    """The checkpoint folder of the session. A temporary one is set only on a single machine where none is configured; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='tastegrid-')}"
         _OWNED.append(own)
         context.setCheckpointDir(own)

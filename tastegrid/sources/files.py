@@ -129,9 +129,10 @@ def write_report(report: dict, path: str) -> None:
     os.replace(part, path)
 
 
-def write_neighbors(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """Neighbour table bucketed by item and sorted by rank, so lookups and joins on the item need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, "item_id").sortBy("item_id", "rank").saveAsTable(table)
+def write_neighbors(df: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Neighbour table bucketed by item and sorted by rank, so lookups and joins on the item need no exchange; at ``path`` where given."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, "item_id").sortBy("item_id", "rank")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def file_status(path: str, expected: int | None) -> str:

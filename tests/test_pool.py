@@ -53,3 +53,35 @@ def test_bm25_takes_unseen_items_only(spark):
 
 def test_ablation_masks():
     assert set(Q.ABLATIONS) == {"lean", "no_implicit_item_item", "no_co_visitation", "no_user_neighbor", "no_collaborative", "no_review_terms", "no_evidence_graph", "no_aspect_taxonomy", "no_popularity_fallback"}
+
+
+def test_mixer_stages(spark):
+    """Floors come first, protected candidates leave room, exploring ones fill it, the rest follows."""
+    rows = [("u", f"p{k:03}", {"implicit_item_item": 1 - k / 200}, 1, 0.9 - k / 1000) for k in range(120)] + [("u", f"x{k:03}", {"aspect_profile": 0.9}, 1, 0.5 - k / 1000) for k in range(30)] + [("u", f"g{k:03}", {"global_popular": 0.2}, 1, 0.1) for k in range(25)]
+    merged = spark.createDataFrame(rows, "user_id string, item_id string, scores map<string,double>, n_sources int, priority double")
+    items = merged.select("item_id", F.lit(1).alias("popularity"), F.lit(4.0).alias("average_rating"))
+    history = rows_of(spark, [("u", f"h{k}", 5, "c", k) for k in range(3)])
+    got = {r["item_id"]: (r["rank"], r["stage"]) for r in retrieval.mix(merged, items, history).collect()}
+    assert len(got) == 100 and {r for r, _ in got.values()} == set(range(1, 101))
+    assert sorted(i for i, (_, s) in got.items() if s == 2) == sorted(f"p{k:03}" for k in range(8))  # eight best of the floor of one source
+    assert sum(s == 4 for _, s in got.values()) == 20  # popular floor
+    assert sum(s == 6 for _, s in got.values()) == 90 - 28 and sum(s == 7 for _, s in got.values()) == 10
+
+
+def test_pair_sums_equal_brute_force(spark):
+    from collections import defaultdict
+    from itertools import combinations
+
+    from tastegrid.operators import gram
+
+    cells = [(f"u{r}", c, float((r * c) % 7 + 1)) for r in range(30) for c in range(40) if (r + c * c) % 3 or r == 0]
+    by = defaultdict(dict)
+    for r, c, v in cells:
+        by[r][c] = v
+    want = defaultdict(float)
+    for row in by.values():
+        for a, b in combinations(sorted(row), 2):
+            want[a, b] += row[a] * row[b]
+    for piece in (500, 7):
+        got = gram.pair_sums(spark.createDataFrame(cells, "u string, c long, v double"), "u", "c", "v", piece).collect()
+        assert {(r["a"], r["b"]): r["dot"] for r in got} == want

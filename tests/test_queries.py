@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tastegrid.plans import core_queries, engine_queries
+from tastegrid.plans import core_queries, detail_queries, engine_queries
 
-core = engine_queries.QUERIES | core_queries.QUERIES
+core = engine_queries.QUERIES | core_queries.QUERIES | detail_queries.QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
@@ -32,7 +32,7 @@ def duck():
 
 
 # further reports over the pool of u02_candidate_pool: a minute each even on the smallest tables
-OVER_THE_POOL = {"a28_ranking_metrics", "a32_source_diagnostics", "a33_miss_causes", "e05_source_ablation"}
+OVER_THE_POOL = {"g06_ranked_top10", "a28_ranking_metrics", "a32_source_diagnostics", "a33_miss_causes", "e05_source_ablation"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n in core and n not in OVER_THE_POOL))
